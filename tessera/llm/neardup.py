@@ -8,8 +8,8 @@ at most two of its bits differ, which happens in one of eight tables of 26 bits
 may differ. Equal texts (after folding case and outer punctuation) collapse first and only one emits.
 
 In a variant's bucket each member is compared with the member before it, in the order of the long
-fingerprint, and with a hub chosen by a hash of bucket and member, so a group of any size gives two links a row;
-other tables and variants bring other neighbours and hubs.
+fingerprint, and with the first, so a group of any size gives two links a row; other tables and variants bring
+other neighbours and other firsts.
 
 Rows: null and empty texts are one group of equal texts; null doc_ids and repeated rows are handled by the row's
 key and content: of rows that agree in both one stays. All columns of the kept rows stay as they are.
@@ -90,14 +90,14 @@ def groups(docs: DataFrame) -> DataFrame:
     tabled = reps.select("rep", F.col("wide")[0].alias("first"), F.posexplode("short").alias("t", "fp"))
     ball = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(BITS, 1)])).alias("m")
     variants = tabled.select("rep", "first", "t", "fp", ball).select((F.shiftleft(F.col("t").cast("bigint"), BITS) + F.col("fp").bitwiseXOR(F.col("m"))).alias("variant"), "rep", "first")
-    by = Window.partitionBy("variant")
-    met = variants.withColumn("before", F.lag("rep").over(by.orderBy("first", "rep"))).withColumn("before_first", F.lag("first").over(by.orderBy("first", "rep")))
-    met = met.filter("before is not null")
-    near = met.filter(F.bit_count(F.col("first").bitwiseXOR(F.col("before_first"))) <= FAR // WIDE + 8)
-    chain = near.select(F.least("rep", "before").alias("a"), F.greatest("rep", "before").alias("b"))
-    hubs = variants.groupBy("variant").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("variant", "rep")).alias("hub")).filter("n > 2")
-    spokes = variants.join(hubs, "variant").filter("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-    pairs = chain.unionByName(spokes).distinct()
+    # one shuffle and one sort serve both links of a row: to its neighbour and to the bucket's hub
+    by = Window.partitionBy("variant").orderBy("first", "rep")
+    row = F.struct("rep", "first")
+    met = variants.select("rep", "first", F.lag(row).over(by).alias("before"), F.first(row).over(by).alias("hub")).filter("before is not null")
+    other = met.select("rep", "first", F.explode(F.array("before", "hub")).alias("o")).select("rep", "first", F.col("o.rep").alias("to"), F.col("o.first").alias("to_first"))
+    # a quarter of the long fingerprint decides what is worth fetching the rest for
+    near = other.filter("rep <> to").filter(F.bit_count(F.col("first").bitwiseXOR(F.col("to_first"))) <= FAR // WIDE + 8)
+    pairs = near.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
     wide = reps.select("rep", "wide")
     checked = pairs.join(wide.withColumnRenamed("rep", "a").withColumnRenamed("wide", "wa"), "a").join(wide.withColumnRenamed("rep", "b").withColumnRenamed("wide", "wb"), "b").filter(_apart("wa", "wb") <= FAR).select("a", "b")
     label = components(checkpoint(checked)).withColumnRenamed("node", "rep")
