@@ -33,6 +33,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 20_000
 STEPS, PRIOR, LEAST_TEXTS, BIAS_RATE, W_RATE, MOMENTUM, RIDGE, LASSO = 200, -4.0, 0.002, 0.05, 0.01, 0.9, 1e-3, 5e-4
 #: A word's average is as if it had so many neutral n-grams more, lest two or three of a short word decide.
 PAD = 6
+SLICE = 20_000
 
 
 def words(text: str | None) -> list[str]:
@@ -45,7 +46,7 @@ def subwords(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     points = np.frombuffer("".join(f"<{w}>" for w in vocabulary).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.array([len(w) + 2 for w in vocabulary])
-    owner = np.repeat(np.arange(len(vocabulary)), lengths)
+    owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), lengths)
     ids, who = [], []
     for n in SIZES:
         k = len(points) - n + 1
@@ -56,7 +57,7 @@ def subwords(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ points[t : t + k]) * np.uint64(1099511628211)
         inside = owner[:k] == owner[n - 1 :]
         h = h[inside]
-        ids.append(((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int64))
+        ids.append(((h ^ (h >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32))
         who.append(owner[:k][inside])
     ids, who = np.concatenate(ids), np.concatenate(who)
     order = np.argsort(who, kind="stable")
@@ -86,32 +87,36 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = STEPS, seed: int = 7
     ``LEAST_TEXTS`` of the texts (3 at least) stay zero.
     """
     toxic = np.asarray(toxic, dtype=bool)
-    split = [words(t) for t in texts]
-    keep = [k for k, w in enumerate(split) if w]
-    split, toxic = [split[k] for k in keep], toxic[keep]
-    if not split or toxic.all() or not toxic.any():
+    vocabulary: dict[str, int] = {}
+    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], np.int32) for t in texts]
+    keep = [k for k, ids in enumerate(coded) if len(ids)]
+    coded, toxic = [coded[k] for k in keep], toxic[keep]
+    if not coded or toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return np.append(np.zeros(BUCKETS), np.log(max(share, 1e-6) / max(1 - share, 1e-6))).astype(np.float32)
-    vocabulary: dict[str, int] = {}
-    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for ws in split]
-    grams, gram_starts = subwords(list(vocabulary))
-    gram_counts = np.diff(np.append(gram_starts, len(grams)))
+    # in slices, so that only the 4-byte results of all words are held at once
+    listed = list(vocabulary)
+    slices = [subwords(listed[k : k + SLICE]) for k in range(0, len(listed), SLICE)]
+    grams = np.concatenate([ids for ids, _ in slices])
+    gram_counts = np.concatenate([np.diff(np.append(starts, len(ids))) for ids, starts in slices])
+    gram_starts = _starts(gram_counts)
+    del slices, listed
     divisor = gram_counts + PAD
-    least = max(3, round(LEAST_TEXTS * len(split)))
+    least = max(3, round(LEAST_TEXTS * len(coded)))
     seen = np.zeros(BUCKETS, np.int32)
     for ids in coded:
         own = np.unique(ids)
         seen[np.unique(np.concatenate([grams[gram_starts[k] : gram_starts[k] + gram_counts[k]] for k in own]))] += 1
     # n-grams that stay zero need no place; every word keeps its own count as the divisor
     live = seen[grams] >= least
-    gram_word = np.repeat(np.arange(len(vocabulary)), gram_counts)[live]
+    gram_word = np.repeat(np.arange(len(vocabulary), dtype=np.int32), gram_counts)[live]
     grams = grams[live]
     spans = [(d, lo, hi) for d, ids in enumerate(coded) for lo, hi in windows(len(ids))]
     docs = np.array([d for d, _, _ in spans])
     sizes = np.array([hi - lo for _, lo, hi in spans])
     tokens = np.concatenate([coded[d][lo:hi] for d, lo, hi in spans])
-    token_starts, token_window = _starts(sizes), np.repeat(np.arange(len(spans)), sizes)
-    opens = np.searchsorted(docs, np.arange(len(split)))
+    token_starts, token_window = _starts(sizes), np.repeat(np.arange(len(spans), dtype=np.int32), sizes)
+    opens = np.searchsorted(docs, np.arange(len(coded)))
     positive = toxic[docs]
     per_kind = np.where(positive, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
 
