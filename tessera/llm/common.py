@@ -35,6 +35,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Over all shuffle partitions: what follows makes many rows of each, which AQE cannot know when it joins small partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def row_key(key: str = "doc_id", text: str = "text") -> Column:
     """The document's id, or where it is null a hash of its text: a key to rejoin rows by."""
     return F.coalesce(F.col(key).cast("bigint"), F.xxhash64(F.coalesce(text, F.lit(""))))
@@ -55,6 +60,7 @@ def components(edges: DataFrame) -> DataFrame:
     renamed, loops and repeats go. The maps of the rounds are then composed backwards. Minima combine
     before the shuffle; renaming is an equi-join whose hot side AQE may split.
     """
+    edges = checkpoint(edges.select("a", "b"))  # read twice below
     e = edges.select(_scramble(F.col("a")).alias("a"), _scramble(F.col("b")).alias("b")).filter("a <> b").distinct()
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     e, maps = checkpoint(e), []

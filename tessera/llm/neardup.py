@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, components, row_key
+from .common import bounded_batches, checkpoint, components, row_key, spread
 from .simhash import masks, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -87,7 +87,7 @@ def groups(docs: DataFrame) -> DataFrame:
     # equal texts: sketches agree, so any of them will do
     reps = rows.groupBy("same").agg(F.min("key").alias("rep"), F.min("wide").alias("wide"), F.min("short").alias("short"))
     reps = checkpoint(reps)
-    tabled = reps.select("rep", F.col("wide")[0].alias("first"), F.posexplode("short").alias("t", "fp"))
+    tabled = spread(reps, "rep").select("rep", F.col("wide")[0].alias("first"), F.posexplode("short").alias("t", "fp"))
     ball = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(BITS, 1)])).alias("m")
     variants = tabled.select("rep", "first", "t", "fp", ball).select((F.shiftleft(F.col("t").cast("bigint"), BITS) + F.col("fp").bitwiseXOR(F.col("m"))).alias("variant"), "rep", "first")
     # one shuffle and one sort serve both links of a row: to its neighbour and to the bucket's hub
@@ -100,7 +100,7 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs = near.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
     wide = reps.select("rep", "wide")
     checked = pairs.join(wide.withColumnRenamed("rep", "a").withColumnRenamed("wide", "wa"), "a").join(wide.withColumnRenamed("rep", "b").withColumnRenamed("wide", "wb"), "b").filter(_apart("wa", "wb") <= FAR).select("a", "b")
-    label = components(checkpoint(checked)).withColumnRenamed("node", "rep")
+    label = components(checked).withColumnRenamed("node", "rep")
     smallest = label.groupBy("label").agg(F.min("rep").alias("keeper"))
     keepers = label.join(smallest, "label").select("rep", "keeper")
     named = reps.select("same", "rep").join(keepers, "rep", "left").select("same", F.coalesce("keeper", "rep").alias("keeper"))

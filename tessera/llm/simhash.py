@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, components
+from .common import bounded_batches, checkpoint, components, spread
 
 _CHUNK = 1 << 15
 
@@ -87,8 +87,7 @@ def differing(a: str, b: str) -> Column:
 def links(distinct: DataFrame, radius: int = 1) -> DataFrame:
     """Links ``a, b`` among distinct fingerprints ``fp`` that connect what is within 2 * radius bits."""
     ball = F.array(*[F.lit(m).cast("bigint") for m in masks(64, radius)])
-    variants = distinct.select("fp", F.explode(ball).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("variant"), "fp")
-    # the smallest and largest of each bucket first: most buckets have one member and end here
+    variants = spread(distinct, "fp").select("fp", F.explode(ball).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("variant"), "fp")
     met = variants.groupBy("variant").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter("size(fps) > 1")
     pair = F.explode(F.arrays_zip(F.slice("fps", 1, F.size("fps") - 1).alias("a"), F.slice("fps", 2, F.size("fps") - 1).alias("b"))).alias("p")
     pairs = met.select(pair)
