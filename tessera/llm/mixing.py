@@ -125,24 +125,24 @@ def rate_of(steps: list[list[float]]) -> Column:
 def fit_rates(members: DataFrame, weights: dict[str, float]) -> list[list[float]]:
     """Steps of projected gradient descent on the K residuals, until they are within CLOSE of all tokens.
 
-    The gradient is scaled by the inverse of the K x K matrix of expected token overlaps, which without the
-    projection would meet the targets in one step; the projection at zero takes a few more.
+    The gradient is scaled by the inverse of the K x K matrix of expected token overlaps of the documents whose
+    rate is above zero, which would meet the targets in one step if no further rate fell to zero.
     """
     total = members.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return []
     k = len(DOMAINS)
-    sums = members.agg(*[F.sum(F.col("tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"{a}_{b}") for a in DOMAINS for b in DOMAINS]).first()
-    scale = np.linalg.inv(np.array(list(sums)).reshape(k, k) / total + 1e-4 * np.eye(k))
     target = np.array([weights[d] for d in DOMAINS])
     steps: list[list[float]] = []
     for _ in range(ROUNDS):
-        got = members.agg(*[F.sum(F.col("tokens") * rate_of(steps) * F.col(f"p_{d}")) for d in DOMAINS]).first()
-        residual = np.array(list(got)) / total - target
+        rated = members.withColumn("_rate", rate_of(steps)).withColumn("_live", F.when(F.col("_rate") > 0, F.col("tokens")).otherwise(0))
+        overlaps = [F.sum(F.col("_live") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in DOMAINS for b in DOMAINS]
+        got = np.array(list(rated.agg(*[F.sum(F.col("tokens") * F.col("_rate") * F.col(f"p_{d}")) for d in DOMAINS], *overlaps).first())) / total
+        residual, overlap = got[:k] - target, got[k:].reshape(k, k)
         if np.abs(residual).max() <= CLOSE:
             break
         # rounded so that the order in which executors add up does not show
-        steps.append([round(float(x), 9) for x in scale @ residual])
+        steps.append([round(float(x), 9) for x in np.linalg.solve(overlap + 1e-4 * np.eye(k), residual)])
     return steps
 
 

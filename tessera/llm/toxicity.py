@@ -167,7 +167,7 @@ def score_texts(texts: pa.Array, model: np.ndarray) -> np.ndarray:
     for k, n in enumerate(counts.tolist()):
         run = values[at : at + n]
         at += n
-        if not n or (n == 1 and not texts[k].as_py().strip()):
+        if not n or (n == 1 and not (texts[k].as_py() or "").strip()):
             logit = bias
         elif n <= WINDOW:
             logit = run.mean() + bias
