@@ -46,10 +46,12 @@ def row_key(key: str = "doc_id", text: str = "text") -> Column:
 
 
 def _scramble(x: Column) -> Column:
-    """A bijection of 64-bit integers (shift and xor steps), so that the smallest label is a random node."""
-    for shift in (lambda v: F.shiftleft(v, 13), lambda v: F.shiftrightunsigned(v, 7), lambda v: F.shiftleft(v, 17)):
-        x = x.bitwiseXOR(shift(x))
-    return x
+    """A bijection of 64-bit integers (a Feistel network over a hash), so that the smallest label is a random node."""
+    low = F.lit(0xFFFFFFFF).cast("bigint")
+    left, right = F.shiftrightunsigned(x, 32), x.bitwiseAND(low)
+    for salt in range(3):
+        left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(salt)).bitwiseAND(low))
+    return F.shiftleft(left, 32).bitwiseOR(right)
 
 
 def components(edges: DataFrame) -> DataFrame:
