@@ -31,7 +31,9 @@ def widespread(lines: DataFrame, sites: int) -> DataFrame:
     slack = BAND * 1.04 / (2**LG_K) ** 0.5
     spread = checkpoint(spread.filter(F.col("about") >= sites * (1 - slack) - 1))
     near = spread.filter(F.col("about") <= sites * (1 + slack) + 1).select("h")
-    exact = lines.join(near, "h", "left_semi").filter("site is not null").groupBy("h").agg(F.count_distinct("site").alias("n")).filter(F.col("n") >= sites)
+    # repeats combine map-side before the join deals by line, so that a very common line is one row a site there
+    pairs = lines.select("h", "site").filter("site is not null").distinct()
+    exact = pairs.join(near, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= sites)
     return spread.filter(F.col("about") > sites * (1 + slack) + 1).select("h").unionByName(exact.select("h"))
 
 
