@@ -8,8 +8,9 @@ at most two of its bits differ, which happens in one of eight tables of 26 bits
 may differ. Equal texts (after folding case and outer punctuation) collapse first and only one emits.
 
 In a variant's bucket each member is compared with the member before it, in the order of the long
-fingerprint, and with the first, so a group of any size gives two links a row; other tables and variants bring
-other neighbours and other firsts.
+fingerprint, and with the first, its hub; other tables and variants bring other neighbours and other hubs. The long
+fingerprint travels with the variant, so a pair is verified where it meets. Links that other links imply go before
+anything is joined, so a large group leaves a link or two a row, not hundreds.
 
 Rows: null and empty texts are one group of equal texts; null doc_ids and repeated rows are handled by the row's
 key and content: of rows that agree in both one stays. All columns of the kept rows stay as they are.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, checkpoint, components, row_key, spread
@@ -75,8 +76,29 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(same), pa.array(wide, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64()))], ["key", "same", "wide", "short"])
 
 
-def _apart(a: str, b: str):
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(WIDE)), F.lit(0))
+def _near(to: str) -> Column:
+    """Whether the row and the one whose values ``to`` holds differ in at most FAR bits."""
+    return sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(to)[f"w{k}"])) for k in range(WIDE)), F.lit(0)) <= FAR
+
+
+def links(reps: DataFrame) -> DataFrame:
+    """Links ``a, b`` among the rows ``rep, wide, short``: they connect whatever a bucket's chain and hub links would."""
+    wide = [f"w{k}" for k in range(WIDE)]
+    tabled = spread(reps, "rep").select("rep", *[F.col("wide")[k].alias(w) for k, w in enumerate(wide)], F.posexplode("short").alias("t", "fp"))
+    ball = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(BITS, 1)])).alias("m")
+    variant = (F.shiftleft(F.col("t").cast("bigint"), BITS) + F.col("fp").bitwiseXOR(F.col("m"))).alias("variant")
+    variants = tabled.select("t", "fp", "rep", *wide, ball).select(variant, "rep", *wide)
+    by = Window.partitionBy("variant").orderBy(*wide, "rep")
+    row = F.struct("rep", *wide)
+    met = variants.withColumn("before", F.lag(row).over(by)).withColumn("hub", F.first(row).over(by))
+    held = met.withColumn("to_hub", _near("hub")).withColumn("to_before", F.col("before").isNotNull() & _near("before"))
+    held = held.withColumn("before_to_hub", F.lag("to_hub").over(by)).filter("before is not null")
+    # two neighbours that both link to the hub need no link of their own
+    found = held.select("rep", F.when(F.col("to_hub"), F.col("hub.rep")).alias("h"), F.when(F.col("to_before") & ~(F.col("to_hub") & F.col("before_to_hub")), F.col("before.rep")).alias("n"))
+    lists = found.filter("h is not null or n is not null").groupBy("rep").agg(F.sort_array(F.array_union(F.collect_set("h"), F.collect_set("n"))).alias("to"))
+    # r - x1, r - x2, ... connect as r - x1, x1 - x2, ... do, and of the latter the rows of a group have few different ones
+    star = F.expr("transform(to, (x, k) -> if(k = 0, struct(rep as a, x as b), struct(to[0] as a, x as b)))")
+    return lists.select(F.explode(star).alias("e")).select("e.a", "e.b").distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -87,20 +109,7 @@ def groups(docs: DataFrame) -> DataFrame:
     # equal texts: sketches agree, so any of them will do
     reps = rows.groupBy("same").agg(F.min("key").alias("rep"), F.min("wide").alias("wide"), F.min("short").alias("short"))
     reps = checkpoint(reps)
-    tabled = spread(reps, "rep").select("rep", F.col("wide")[0].alias("first"), F.posexplode("short").alias("t", "fp"))
-    ball = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(BITS, 1)])).alias("m")
-    variants = tabled.select("rep", "first", "t", "fp", ball).select((F.shiftleft(F.col("t").cast("bigint"), BITS) + F.col("fp").bitwiseXOR(F.col("m"))).alias("variant"), "rep", "first")
-    # one shuffle and one sort serve both links of a row: to its neighbour and to the bucket's hub
-    by = Window.partitionBy("variant").orderBy("first", "rep")
-    row = F.struct("rep", "first")
-    met = variants.select("rep", "first", F.lag(row).over(by).alias("before"), F.first(row).over(by).alias("hub")).filter("before is not null")
-    other = met.select("rep", "first", F.explode(F.array("before", "hub")).alias("o")).select("rep", "first", F.col("o.rep").alias("to"), F.col("o.first").alias("to_first"))
-    # a quarter of the long fingerprint decides what is worth fetching the rest for
-    near = other.filter("rep <> to").filter(F.bit_count(F.col("first").bitwiseXOR(F.col("to_first"))) <= FAR // WIDE + 8)
-    pairs = near.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
-    wide = reps.select("rep", "wide")
-    checked = pairs.join(wide.withColumnRenamed("rep", "a").withColumnRenamed("wide", "wa"), "a").join(wide.withColumnRenamed("rep", "b").withColumnRenamed("wide", "wb"), "b").filter(_apart("wa", "wb") <= FAR).select("a", "b")
-    label = components(checked).withColumnRenamed("node", "rep")
+    label = components(links(reps)).withColumnRenamed("node", "rep")
     smallest = label.groupBy("label").agg(F.min("rep").alias("keeper"))
     keepers = label.join(smallest, "label").select("rep", "keeper")
     named = reps.select("same", "rep").join(keepers, "rep", "left").select("same", F.coalesce("keeper", "rep").alias("keeper"))
