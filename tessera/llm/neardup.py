@@ -32,6 +32,8 @@ from .simhash import masks, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, TABLES, WIDE = 26, 8, 4
+#: High bits of a short fingerprint that, with its table, say where its variants are dealt: 2 ** PREFIX * TABLES keys.
+PREFIX = 12
 #: Bits of 256 that pairs at SIMILARITY differ in, and one standard deviation more.
 _P = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
 FAR = round(256 * _P + (256 * _P * (1 - _P)) ** 0.5)
@@ -84,11 +86,17 @@ def _near(to: str) -> Column:
 def links(reps: DataFrame) -> DataFrame:
     """Links ``a, b`` among the rows ``rep, wide, short``: they connect whatever a bucket's chain and hub links would."""
     wide = [f"w{k}" for k in range(WIDE)]
+    low = BITS - PREFIX
     tabled = spread(reps, "rep").select("rep", *[F.col("wide")[k].alias(w) for k, w in enumerate(wide)], F.posexplode("short").alias("t", "fp"))
-    ball = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(BITS, 1)])).alias("m")
-    variant = (F.shiftleft(F.col("t").cast("bigint"), BITS) + F.col("fp").bitwiseXOR(F.col("m"))).alias("variant")
-    variants = tabled.select("t", "fp", "rep", *wide, ball).select(variant, "rep", *wide)
-    by = Window.partitionBy("variant").orderBy(*wide, "rep")
+    # variants are dealt by table and high bits: those that flip a low bit share a row until they have arrived
+    high = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(PREFIX, 1)])).alias("m")
+    dealt = tabled.select("t", "fp", "rep", *wide, high).select(
+        (F.shiftleft(F.col("t").cast("bigint"), PREFIX) + F.shiftright("fp", low).bitwiseXOR(F.col("m"))).alias("prefix"),
+        F.col("fp").bitwiseAND(F.lit((1 << low) - 1)).cast("int").alias("rest"), (F.col("m") == 0).alias("own"), "rep", *wide,
+    )
+    flips = F.when(F.col("own"), F.array(*[F.lit(m) for m in masks(low, 1)])).otherwise(F.array(F.lit(0)))
+    variants = spread(dealt, "prefix").select("prefix", "rest", "rep", *wide, F.explode(flips).alias("m")).select("prefix", F.col("rest").bitwiseXOR(F.col("m")).alias("variant"), "rep", *wide)
+    by = Window.partitionBy("prefix", "variant").orderBy(*wide, "rep")
     row = F.struct("rep", *wide)
     met = variants.withColumn("before", F.lag(row).over(by)).withColumn("hub", F.first(row).over(by))
     held = met.withColumn("to_hub", _near("hub")).withColumn("to_before", F.col("before").isNotNull() & _near("before"))
