@@ -1,16 +1,15 @@
-"""Near-duplicate removal with SimHash balls: word shingles of five, similarity 0.8 or more.
+"""Near-duplicate removal as an exact similarity join: sets of five-word shingles, Jaccard similarity 0.8 or more.
 
-One 64-bit fingerprint and a ball of a few bits miss most pairs at similarity 0.8, whose fingerprints differ in
-about ten bits. Every text therefore gets TABLES short fingerprints of BITS bits with a ball of radius one each: at
-Jaccard similarity J a bit differs with probability p = acos(2J / (1 + J)) / pi, and a table links a pair if
-at most two of its bits differ, which happens in one of eight tables of 26 bits with probability 0.87 at 0.8, 0.96 at
-0.85 and over 0.99 at 0.9. What meets is verified on a fingerprint of 256 further bits, at most FAR of which
-may differ. Equal texts (after folding case and outer punctuation) collapse first and only one emits.
+Two sets at similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in whatever order all sets
+are sorted by (prefix filter). Every distinct text is dealt by these shingles, and texts that meet are candidates unless
+their sizes or the shingle's positions rule the pair out. The shared sets of the rest are compared, so exactly the pairs at
+SIMILARITY link. Shingles common in a sample of the texts come last in the order: it holds for any sample
+and keeps shared passages out of the prefixes. Equal texts (after folding case and outer punctuation) collapse first.
 
-In a variant's bucket each member is compared with the member before it, in the order of the long
-fingerprint, and with the first, its hub; other tables and variants bring other neighbours and other hubs. The long
-fingerprint travels with the variant, so a pair is verified where it meets. Links that other links imply go before
-anything is joined, so a large group leaves a link or two a row, not hundreds.
+Only connected components are wanted, so a pair within a component is not compared. A first round compares
+neighbours in the buckets of the FIRST smallest hashes alone; then all prefixes are dealt with the labels found, buckets of one label
+go, and rounds compare rows at most STEP, STEP ** 2, ... places apart until every pair of different labels in every
+bucket has been compared. A large group so costs a few comparisons a row, and no bucket is cut.
 
 Rows: null and empty texts are one group of equal texts; null doc_ids and repeated rows are handled by the row's
 key and content: of rows that agree in both one stays. All columns of the kept rows stay as they are.
@@ -18,25 +17,27 @@ key and content: of rows that agree in both one stays. All columns of the kept r
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, checkpoint, components, row_key, spread
-from .simhash import masks, shingle_hashes
+from .simhash import shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
-BITS, TABLES, WIDE = 26, 8, 4
-#: High bits of a short fingerprint that, with its table, say where its variants are dealt: 2 ** PREFIX * TABLES keys.
-PREFIX = 12
-#: Bits of 256 that pairs at SIMILARITY differ in, and one standard deviation more.
-_P = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
-FAR = round(256 * _P + (256 * _P * (1 - _P)) ** 0.5)
+#: SIMILARITY as a ratio of integers: comparisons are exact.
+OVER, UNDER = 4, 5
+#: Texts of the sample that orders the shingles, and the most shingles taken to be common in it.
+SAMPLE, COMMON = 20_000, 200_000
+#: Shingles of a text dealt in the first round, and how the distance compared in a bucket grows.
+FIRST, STEP = 4, 16
+#: Keys that are sent to every executor at most.
+SMALL = 1_000_000
 _EDGES = b".,;:!?\"'()[]{}*#%&$|"
 
 
@@ -44,84 +45,138 @@ def folded_words(text: bytes) -> list[bytes]:
     return [x for w in text.decode("utf-8", "replace").lower().encode().split() if (x := w.strip(_EDGES))]
 
 
-def _mix(h: np.ndarray, salt: int) -> np.ndarray:
-    """Another hash of a hash (the finaliser of splitmix64)."""
-    h = h + np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    parts = list(shingle_hashes(words, SHINGLE, 42))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def _sketch(words: list[bytes]) -> tuple[list[int], list[int]]:
-    """WIDE long fingerprints and TABLES short ones, the short ones from bits of their own."""
-    rows = WIDE + -(-BITS * TABLES // 64)
-    total, n = np.zeros(64 * rows, np.int64), 0
-    for h in shingle_hashes(words, SHINGLE, 42):
-        for r in range(rows):
-            total[64 * r : 64 * r + 64] += np.unpackbits(_mix(h, r + 1).view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        n += len(h)
-    bits = 2 * total > n
-    wide = np.packbits(bits[: 64 * WIDE]).view(">i8").tolist()
-    short = bits[64 * WIDE : 64 * WIDE + BITS * TABLES].reshape(TABLES, BITS) @ (1 << np.arange(BITS, dtype=np.int64))
-    return wide, short.tolist()
+def _prefix(h: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles of which any set at SIMILARITY shares one in its own prefix: rare ones first, then by hash."""
+    rank = np.zeros(len(h), np.int64)
+    if len(common) and len(h):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rank = np.where(common[at] == h, often[at], 0)
+    return h[np.lexsort((h, rank))[: len(h) - -(-OVER * len(h) // UNDER) + 1]]
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _node(words: list[bytes]) -> int:
+    """The id of a folded text."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        node, n, first, head = [], [], [], []
+        for x in b.column("text").cast(pa.binary()):
+            words = folded_words(x.as_py() or b"")
+            h = shingles(words)
+            node.append(_node(words))
+            n.append(len(h))
+            first.append(h[:FIRST].view(np.int64))
+            head.append(_prefix(h, common, often).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(head, pa.list_(pa.int64()))], ["key", "node", "n", "first", "head"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        same, wide, short = [], [], []
+        node, whole = [], []
         for x in b.column("text").cast(pa.binary()):
             words = folded_words(x.as_py() or b"")
-            w, s = _sketch(words)
-            same.append(xxhash.xxh128_hexdigest(b" ".join(words)))
-            wide.append(w)
-            short.append(s)
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(same), pa.array(wide, pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int64()))], ["key", "same", "wide", "short"])
-
-
-def _near(to: str) -> Column:
-    """Whether the row and the one whose values ``to`` holds differ in at most FAR bits."""
-    return sum((F.bit_count(F.col(f"w{k}").bitwiseXOR(F.col(to)[f"w{k}"])) for k in range(WIDE)), F.lit(0)) <= FAR
-
-
-def links(reps: DataFrame) -> DataFrame:
-    """Links ``a, b`` among the rows ``rep, wide, short``: they connect whatever a bucket's chain and hub links would."""
-    wide = [f"w{k}" for k in range(WIDE)]
-    low = BITS - PREFIX
-    tabled = spread(reps, "rep").select("rep", *[F.col("wide")[k].alias(w) for k, w in enumerate(wide)], F.posexplode("short").alias("t", "fp"))
-    # variants are dealt by table and high bits: those that flip a low bit share a row until they have arrived
-    high = F.explode(F.array(*[F.lit(m).cast("bigint") for m in masks(PREFIX, 1)])).alias("m")
-    dealt = tabled.select("t", "fp", "rep", *wide, high).select(
-        (F.shiftleft(F.col("t").cast("bigint"), PREFIX) + F.shiftright("fp", low).bitwiseXOR(F.col("m"))).alias("prefix"),
-        F.col("fp").bitwiseAND(F.lit((1 << low) - 1)).cast("int").alias("rest"), (F.col("m") == 0).alias("own"), "rep", *wide,
-    )
-    flips = F.when(F.col("own"), F.array(*[F.lit(m) for m in masks(low, 1)])).otherwise(F.array(F.lit(0)))
-    variants = spread(dealt, "prefix").select("prefix", "rest", "rep", *wide, F.explode(flips).alias("m")).select("prefix", F.col("rest").bitwiseXOR(F.col("m")).alias("variant"), "rep", *wide)
-    by = Window.partitionBy("prefix", "variant").orderBy(*wide, "rep")
-    row = F.struct("rep", *wide)
-    met = variants.withColumn("before", F.lag(row).over(by)).withColumn("hub", F.first(row).over(by))
-    held = met.withColumn("to_hub", _near("hub")).withColumn("to_before", F.col("before").isNotNull() & _near("before"))
-    held = held.withColumn("before_to_hub", F.lag("to_hub").over(by)).filter("before is not null")
-    # two neighbours that both link to the hub need no link of their own
-    found = held.select("rep", F.when(F.col("to_hub"), F.col("hub.rep")).alias("h"), F.when(F.col("to_before") & ~(F.col("to_hub") & F.col("before_to_hub")), F.col("before.rep")).alias("n"))
-    lists = found.filter("h is not null or n is not null").groupBy("rep").agg(F.sort_array(F.array_union(F.collect_set("h"), F.collect_set("n"))).alias("to"))
-    # r - x1, r - x2, ... connect as r - x1, x1 - x2, ... do, and of the latter the rows of a group have few different ones
-    star = F.expr("transform(to, (x, k) -> if(k = 0, struct(rep as a, x as b), struct(to[0] as a, x as b)))")
-    return lists.select(F.explode(star).alias("e")).select("e.a", "e.b").distinct()
+            node.append(_node(words))
+            whole.append(shingles(words).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(whole, pa.list_(pa.int64()))], ["node", "whole"])
+
+
+def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several texts of a sample hold, and in how many (as a power of two)."""
+    every = max(1, slim.count() // SAMPLE)
+    sample = slim.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(every)) == 0)
+    held = sample.mapInArrow(_sets, "node bigint, whole array<bigint>").dropDuplicates(["node"]).select(F.explode("whole").alias("h"))
+    top = held.groupBy("h").count().filter("count > 3").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
+    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.log2(top["count"].to_numpy(float)).astype(np.int64)[order]
+
+
+def _possible(x: str, y: str) -> str:
+    """Whether sets of these sizes, a shared shingle at these positions, can reach SIMILARITY."""
+    most = f"least({x}.pos, {y}.pos) + least({x}.n - {x}.pos, {y}.n - {y}.pos)"
+    return f"{UNDER} * least({x}.n, {y}.n) >= {OVER} * greatest({x}.n, {y}.n) and {OVER + UNDER} * ({most}) >= {OVER} * ({x}.n + {y}.n)"
+
+
+def verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose sets are at SIMILARITY or above."""
+    pairs = checkpoint(pairs.distinct())
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = checkpoint(nodes.join(reps.select("node", "key"), "node").select("key").distinct())
+    # texts stay where they are as long as the keys are few
+    texts = slim.join(F.broadcast(keys) if keys.count() <= SMALL else keys, "key", "left_semi")
+    sets = texts.mapInArrow(_sets, "node bigint, whole array<bigint>").groupBy("node").agg(F.min("whole").alias("whole"))
+    a, b = (sets.select(F.col("node").alias(x), F.col("whole").alias(f"set_{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.filter((OVER + UNDER) * shared >= OVER * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+
+
+def _dealt(reps: DataFrame, head: str) -> DataFrame:
+    """``h, node, n, pos, label``, dealt by shingle."""
+    return spread(reps.select(F.posexplode(head).alias("pos", "h"), "node", "n", "label"), "h")
+
+
+def _buckets(dealt: DataFrame) -> DataFrame:
+    """``h, m``: the rows of each shingle that holds two labels at least, by size."""
+    m = F.sort_array(F.collect_list(F.struct("n", "node", "pos", "label")))
+    return dealt.groupBy("h").agg(m.alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h", "m")
+
+
+def _pairs(buckets: DataFrame, after: int, upto: int) -> DataFrame:
+    """``a, b``: possible pairs of different labels, more than ``after`` and at most ``upto`` places apart."""
+    ahead = f"filter(slice(m, i + 2 + {after}, {upto - after}), y -> x.label <> y.label and {_possible('x', 'y')})"
+    found = buckets.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform({ahead}, y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))")).alias("p"))
+    return found.select("p.a", "p.b")
+
+
+def _labelled(reps: DataFrame, found: DataFrame) -> DataFrame:
+    """``reps`` with the smallest node of the component as ``label``."""
+    named = components(found)
+    named = named.join(named.groupBy("label").agg(F.min("node").alias("least")), "label").select("node", F.col("least").alias("label"))
+    return checkpoint(reps.drop("label").join(named, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def labels(reps: DataFrame, slim: DataFrame) -> DataFrame:
+    """``reps`` (``node, key, n, first, head``) with the components of the pairs at SIMILARITY as ``label``."""
+    reps = reps.withColumn("label", F.col("node"))
+    found = checkpoint(verified(_pairs(_buckets(_dealt(reps, "first")), 0, 2), reps, slim))
+    reps = _labelled(reps, found)
+    left = checkpoint(_buckets(_dealt(reps, "head")))
+    after, upto = 0, STEP
+    while (left.agg(F.max(F.size("m"))).first()[0] or 0) > after + 1:
+        new = checkpoint(verified(_pairs(left, after, upto), reps, slim))
+        after, upto = upto, upto * STEP
+        left = left.filter(F.size("m") > after + 1)
+        if new.isEmpty():
+            continue
+        found = found.unionByName(new)
+        reps = _labelled(reps, found)
+        rows = left.select("h", F.explode("m").alias("x")).select("h", "x.n", "x.node", "x.pos")
+        # places stay as they are: a bucket keeps its rows, in the same order
+        left = checkpoint(_buckets(rows.join(reps.select("node", "label"), "node")))
+    return reps
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """``key, keeper``: the row key of every document and the smallest key of its group."""
     bounded_batches(docs.sparkSession)
     slim = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    rows = checkpoint(slim.mapInArrow(_sketches, "key bigint, same string, wide array<bigint>, short array<bigint>"))
-    # equal texts: sketches agree, so any of them will do
-    reps = rows.groupBy("same").agg(F.min("key").alias("rep"), F.min("wide").alias("wide"), F.min("short").alias("short"))
-    reps = checkpoint(reps)
-    label = components(links(reps)).withColumnRenamed("node", "rep")
-    smallest = label.groupBy("label").agg(F.min("rep").alias("keeper"))
-    keepers = label.join(smallest, "label").select("rep", "keeper")
-    named = reps.select("same", "rep").join(keepers, "rep", "left").select("same", F.coalesce("keeper", "rep").alias("keeper"))
-    return rows.select("key", "same").join(named, "same").select("key", "keeper")
+    common, often = _common(slim)
+    rows = slim.mapInArrow(partial(_prefixes, common=common, often=often), "key bigint, node bigint, n bigint, first array<bigint>, head array<bigint>")
+    rows = checkpoint(rows)
+    # equal texts agree in all but the key
+    reps = checkpoint(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("head").alias("head")))
+    named = labels(reps, slim).select("node", "key", "label")
+    keepers = named.groupBy("label").agg(F.min("key").alias("keeper"))
+    return rows.select("key", "node").join(named.select("node", "label"), "node").join(keepers, "label").select("key", "keeper")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

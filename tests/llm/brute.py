@@ -59,3 +59,22 @@ def shards(rows, n=24):
         slots[k] += 1
         start += s
     return out
+
+
+def near_groups(texts, similarity=0.8):
+    """texts: lists of words; each position's smallest position reachable over pairs of Jaccard similarity, of sets of five words."""
+    folded = [[x for w in t if (x := w.lower().strip(".,;:!?\"'()[]{}*#%&$|"))] for t in texts]
+    sets = [{tuple(t[k : k + 5]) for k in range(max(len(t) - 4, min(1, len(t))))} for t in folded]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for b in range(len(texts)):
+        for a in range(b):
+            if folded[a] == folded[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) > 0:
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {k: root(k) for k in range(len(texts))}
