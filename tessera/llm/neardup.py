@@ -2,12 +2,12 @@
 
 Two sets at similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in whatever order all sets
 are sorted by (prefix filter). Every distinct text is dealt by these shingles, and texts that meet are candidates unless
-their sizes or the shingle's positions rule the pair out. The shared sets of the rest are compared, so exactly the pairs at
+their sizes, the shingle's positions or the sets' parities rule the pair out. The sets of the rest are compared, so exactly the pairs at
 SIMILARITY link. Shingles common in a sample of the texts come last in the order: it holds for any sample
 and keeps shared passages out of the prefixes. Equal texts (after folding case and outer punctuation) collapse first.
 
 Only connected components are wanted, so a pair within a component is not compared. A first round compares
-neighbours in the buckets of the FIRST smallest hashes alone; then all prefixes are dealt with the labels found, buckets of one label
+each text with one hub in the buckets of its FIRST smallest hashes alone; then all prefixes are dealt with the labels found, buckets of one label
 go, and rounds compare rows at most STEP, STEP ** 2, ... places apart until every pair of different labels in every
 bucket has been compared. A large group so costs a few comparisons a row, and no bucket is cut.
 
@@ -33,11 +33,13 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: SIMILARITY as a ratio of integers: comparisons are exact.
 OVER, UNDER = 4, 5
 #: Texts of the sample that orders the shingles, and the most shingles taken to be common in it.
-SAMPLE, COMMON = 20_000, 200_000
+SAMPLE, COMMON = 20_000, 30_000
 #: Shingles of a text dealt in the first round, and how the distance compared in a bucket grows.
-FIRST, STEP = 4, 16
-#: Keys that are sent to every executor at most.
-SMALL = 1_000_000
+FIRST, STEP = 4, 8
+#: Bits that bound the difference of two sets from below: each bit is the parity of the shingles that fall on it.
+PARITIES = 1024
+#: Pairs or labels that are sent to every executor at most.
+SMALL = 500_000
 _EDGES = b".,;:!?\"'()[]{}*#%&$|"
 
 
@@ -67,15 +69,17 @@ def _node(words: list[bytes]) -> int:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        node, n, first, head = [], [], [], []
+        node, n, odd, first, head = [], [], [], [], []
         for x in b.column("text").cast(pa.binary()):
             words = folded_words(x.as_py() or b"")
             h = shingles(words)
             node.append(_node(words))
             n.append(len(h))
+            parity = np.bincount((h % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+            odd.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             first.append(h[:FIRST].view(np.int64))
             head.append(_prefix(h, common, often).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(head, pa.list_(pa.int64()))], ["key", "node", "n", "first", "head"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (odd, first, head))], ["key", "node", "n", "odd", "first", "head"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,18 +109,28 @@ def _possible(x: str, y: str) -> str:
     return f"{UNDER} * least({x}.n, {y}.n) >= {OVER} * greatest({x}.n, {y}.n) and {OVER + UNDER} * ({most}) >= {OVER} * ({x}.n + {y}.n)"
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets are at SIMILARITY or above."""
-    pairs = checkpoint(pairs.distinct())
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = checkpoint(nodes.join(reps.select("node", "key"), "node").select("key").distinct())
-    # texts stay where they are as long as the keys are few
-    texts = slim.join(F.broadcast(keys) if keys.count() <= SMALL else keys, "key", "left_semi")
-    sets = texts.mapInArrow(_sets, "node bigint, whole array<bigint>").groupBy("node").agg(F.min("whole").alias("whole"))
-    a, b = (sets.select(F.col("node").alias(x), F.col("whole").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b")
+    pairs = pairs.distinct()
+    for x in "ab":
+        pairs = pairs.join(reps.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "odd")]), x)
+    # sets differ in as many shingles as their parities at least
+    differ = F.expr("aggregate(zip_with(odd_a, odd_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    pairs = checkpoint(pairs.filter((OVER + UNDER) * differ <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "key_a", "key_b"))
+
+    def sets(x: str) -> DataFrame:
+        # texts stay where they are as long as the pairs are few; only sets of candidates move
+        keys = _sent(checkpoint(pairs.select(F.col(f"key_{x}").alias("key")).distinct()))
+        found = slim.join(keys, "key", "left_semi").mapInArrow(_sets, "node bigint, whole array<bigint>")
+        return found.select(F.col("node").alias(x), F.col("whole").alias(f"set_{x}"))
+
+    both = sets("b").join(_sent(pairs.select("a", "b")), "b").join(sets("a"), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter((OVER + UNDER) * shared >= OVER * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+    return both.filter((OVER + UNDER) * shared >= OVER * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct()
 
 
 def _dealt(reps: DataFrame, head: str) -> DataFrame:
@@ -137,19 +151,27 @@ def _pairs(buckets: DataFrame, after: int, upto: int) -> DataFrame:
     return found.select("p.a", "p.b")
 
 
-def _labelled(reps: DataFrame, found: DataFrame) -> DataFrame:
-    """``reps`` with the smallest node of the component as ``label``."""
+def _hubs(buckets: DataFrame) -> DataFrame:
+    """``a, b``: each row of a bucket and the bucket's smallest node, if possible: a large group has few such nodes."""
+    hub = buckets.select("m", F.expr("array_min(transform(m, x -> struct(x.node, x.n, x.pos)))").alias("hub"))
+    return hub.select("hub", F.explode("m").alias("x")).filter("x.node > hub.node").filter(_possible("x", "hub")).select(F.col("hub.node").alias("a"), F.col("x.node").alias("b"))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """``node, label`` of the nodes with a link: the smallest node of the component."""
     named = components(found)
-    named = named.join(named.groupBy("label").agg(F.min("node").alias("least")), "label").select("node", F.col("least").alias("label"))
-    return checkpoint(reps.drop("label").join(named, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    return checkpoint(named.join(named.groupBy("label").agg(F.min("node").alias("least")), "label").select("node", F.col("least").alias("label")))
+
+
+def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
+    return rows.drop("label").join(_sent(named), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def labels(reps: DataFrame, slim: DataFrame) -> DataFrame:
-    """``reps`` (``node, key, n, first, head``) with the components of the pairs at SIMILARITY as ``label``."""
-    reps = reps.withColumn("label", F.col("node"))
-    found = checkpoint(verified(_pairs(_buckets(_dealt(reps, "first")), 0, 2), reps, slim))
-    reps = _labelled(reps, found)
-    left = checkpoint(_buckets(_dealt(reps, "head")))
+    """``reps`` (``node, key, n, odd, first, head``) with the components of the pairs at SIMILARITY as ``label``."""
+    found = checkpoint(verified(_hubs(_buckets(_dealt(reps.withColumn("label", F.col("node")), "first"))), reps, slim))
+    named = _named(found)
+    left = checkpoint(_buckets(_dealt(_labelled(reps, named), "head")))
     after, upto = 0, STEP
     while (left.agg(F.max(F.size("m"))).first()[0] or 0) > after + 1:
         new = checkpoint(verified(_pairs(left, after, upto), reps, slim))
@@ -158,11 +180,10 @@ def labels(reps: DataFrame, slim: DataFrame) -> DataFrame:
         if new.isEmpty():
             continue
         found = found.unionByName(new)
-        reps = _labelled(reps, found)
-        rows = left.select("h", F.explode("m").alias("x")).select("h", "x.n", "x.node", "x.pos")
+        named = _named(found)
         # places stay as they are: a bucket keeps its rows, in the same order
-        left = checkpoint(_buckets(rows.join(reps.select("node", "label"), "node")))
-    return reps
+        left = checkpoint(_buckets(_labelled(left.select("h", F.explode("m").alias("x")).select("h", "x.n", "x.node", "x.pos"), named)))
+    return _labelled(reps, named)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -170,10 +191,10 @@ def groups(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     slim = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text"))
     common, often = _common(slim)
-    rows = slim.mapInArrow(partial(_prefixes, common=common, often=often), "key bigint, node bigint, n bigint, first array<bigint>, head array<bigint>")
+    rows = slim.mapInArrow(partial(_prefixes, common=common, often=often), "key bigint, node bigint, n bigint, odd array<bigint>, first array<bigint>, head array<bigint>")
     rows = checkpoint(rows)
     # equal texts agree in all but the key
-    reps = checkpoint(rows.groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("first").alias("first"), F.min("head").alias("head")))
+    reps = checkpoint(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "n", "odd", "first", "head")]))
     named = labels(reps, slim).select("node", "key", "label")
     keepers = named.groupBy("label").agg(F.min("key").alias("keeper"))
     return rows.select("key", "node").join(named.select("node", "label"), "node").join(keepers, "label").select("key", "keeper")

@@ -3,6 +3,7 @@
 import numpy as np
 from brute import near_groups
 
+import corpus_pipeline
 from tessera.llm import neardup
 
 SCHEMA = "doc_id long, text string"
@@ -12,6 +13,11 @@ def words(rng, n):
     return [f"w{x}" for x in rng.integers(0, 50000, n)]
 
 
+def changed(rng, text, places):
+    out = list(text)
+    for k in rng.choice(len(out), places, replace=False):
+        out[k] = f"new{rng.integers(1 << 30)}"
+    return out
 
 
 def found(spark, texts):
@@ -24,3 +30,17 @@ def test_unrelated_texts_with_repeated_lines_stay(spark):
     line = words(rng, 12)
     texts = [words(rng, 300) + line * 20 for _ in range(6)]
     assert found(spark, texts) == near_groups(texts) == {k: k for k in range(6)}
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    texts = []
+    for places in (0, 1, 2, 4, 5, 6, 6, 7, 7, 8, 9, 12) * 4:
+        a = words(rng, 300)
+        texts += [a, changed(rng, a, places), a + words(rng, 12) * 5, a[:240], a[:235]]
+    texts += [[], [], ["one"], ["one", "two"], ["One,", "two"]]
+    want = near_groups(texts)
+    assert len(set(want.values())) < len(texts) / 2
+    assert found(spark, texts) == want
+    docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(want.values())
