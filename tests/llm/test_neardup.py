@@ -1,6 +1,7 @@
 """The near-duplicate stage against Jaccard similarity of all pairs."""
 
 import numpy as np
+import pytest
 from brute import near_groups
 
 import corpus_pipeline
@@ -44,3 +45,19 @@ def test_groups_are_those_of_all_pairs(spark):
     assert found(spark, texts) == want
     docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), SCHEMA)
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(want.values())
+
+
+@pytest.mark.parametrize("step", [2, 16])
+def test_full_buckets_lose_no_pair(spark, monkeypatch, step):
+    rng = np.random.default_rng(3)
+    passage = words(rng, 150)
+    texts = []
+    for _ in range(40):
+        a = words(rng, 60)
+        texts += [passage + a, changed(rng, passage, 1) + changed(rng, a, 3), passage + changed(rng, a, 12)]
+    # no shingle counts as common, so the passage's are in all prefixes
+    monkeypatch.setattr(neardup, "_common", lambda slim: (np.zeros(0, np.uint64), np.zeros(0, np.int64)), raising=False)
+    monkeypatch.setattr(neardup, "STEP", step, raising=False)
+    want = near_groups(texts)
+    assert 20 < len(set(want.values())) < len(texts)
+    assert found(spark, texts) == want
