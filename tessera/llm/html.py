@@ -33,6 +33,8 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^<]*$|[^<]+|<", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Za-z]+")
+#: Where elements end whose content has no markup.
+_RAW = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in ("script", "style")}
 #: White space of the markup; other spaces (such as no-break) are squeezed as well.
 _SPACE = re.compile(r"\s+")
 
@@ -49,7 +51,6 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     run: list[str] = []
     linked = silent = 0
-    skip_to = ""
     path: tuple[str, ...] | None = None
 
     def close() -> None:
@@ -61,13 +62,11 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             run.clear()
         linked, path = 0, None
 
-    anchors = 0
-    for m in _TOKEN.finditer(page or ""):
+    anchors = at = 0
+    page = page or ""
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         tag = m[2] or m[5]
-        if skip_to:  # raw text until its own end tag
-            if tag and (m[1] or m[4]) and tag.lower() == skip_to:
-                skip_to = ""
-            continue
         if tag is None:
             s = m[0]
             if s[:2] in ("<!", "<?") or silent:
@@ -87,8 +86,9 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in VOID:
             continue
         if not ending:
-            if tag in ("script", "style"):
-                skip_to = tag
+            if tag in _RAW:  # raw text until its own end tag
+                end = _RAW[tag].search(page, at)
+                at = end.end() if end else len(page)
                 continue
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 stack.pop()

@@ -32,6 +32,14 @@ def test_blocks():
     assert html.blocks("a < b") and html.blocks("<p class='x' unfinished")  == []
 
 
+def test_blocks_after_raw_text():
+    for raw in ("for(var i=0;i<n;i++){f(i)}", "if (a<b) c();", "<!-- x", "x = '<p'", "a<b && '</scripts>'"):
+        for tag in ("script", "STYLE", "script async src='x'"):
+            page = f"<{tag}>{raw}</{tag.split()[0].swapcase()} ><p>Main text.</p>"
+            assert [b[1] for b in html.blocks(page)] == ["Main text."], page
+    assert [b[1] for b in html.blocks("<p>a</p><script>b<c")] == ["a"]
+
+
 def test_html_labels(spark):
     model = html.trained()
     right = total = 0
