@@ -17,6 +17,9 @@ from tessera.llm.common import read, shared_folder
 #: Documents whose score reaches this go.
 TOXIC = 0.7
 SHARDS = 24
+#: Wanted shares of the domains that the toxicity stage leaves, in the proportions of mixing.
+_LEFT = {d: w for d, w in mixing.WEIGHTS.items() if d != "toxic"}
+WEIGHTS = {d: w / sum(_LEFT.values()) for d, w in _LEFT.items()}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, read(spark, sf_dir, "labels"))
+    return mixing.mixed(docs, read(spark, sf_dir, "labels"), WEIGHTS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ their hash); without labels all documents fall into one domain and every rate is
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -33,7 +34,8 @@ WEIGHTS = {"low": 0.10, "good": 0.88, "toxic": 0.02}
 HASHED = 1 << 12
 SAMPLE, SAMPLE_CHARS = 1500, 20_000  # labelled texts of each domain at most, and their length
 STEPS, RATE, RIDGE = 150, 0.5, 1e-4
-ROUNDS, CLOSE = 15, 1e-3
+#: Rates are fitted until residuals are within CLOSE, or have not fallen by a share of FALL in PATIENCE rounds.
+CLOSE, FALL, PATIENCE = 1e-3, 0.01, 10
 _STATS = 6
 
 
@@ -123,7 +125,10 @@ def rate_of(steps: list[list[float]]) -> Column:
 
 
 def fit_rates(members: DataFrame, weights: dict[str, float]) -> list[list[float]]:
-    """Steps of projected gradient descent on the K residuals, until they are within CLOSE of all tokens.
+    """Steps of projected gradient descent on the residuals of the domains in ``weights``, until they are within CLOSE of all tokens.
+
+    Where they stop falling before that, as without documents of a wanted domain, the steps of the
+    smallest residual are returned and what is unmet is logged as a warning.
 
     The gradient is scaled by the inverse of the K x K matrix of expected token overlaps of the documents whose
     rate is above zero, which would meet the targets in one step if no further rate fell to zero.
@@ -131,19 +136,30 @@ def fit_rates(members: DataFrame, weights: dict[str, float]) -> list[list[float]
     total = members.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return []
+    wanted = [k for k, d in enumerate(DOMAINS) if d in weights]
     k = len(DOMAINS)
-    target = np.array([weights[d] for d in DOMAINS])
+    target = np.array([weights[DOMAINS[x]] for x in wanted])
     steps: list[list[float]] = []
-    for _ in range(ROUNDS):
+    best, at, mark, since = np.inf, 0, np.inf, 0
+    while True:
         rated = members.withColumn("_rate", rate_of(steps)).withColumn("_live", F.when(F.col("_rate") > 0, F.col("tokens")).otherwise(0))
         overlaps = [F.sum(F.col("_live") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in DOMAINS for b in DOMAINS]
         got = np.array(list(rated.agg(*[F.sum(F.col("tokens") * F.col("_rate") * F.col(f"p_{d}")) for d in DOMAINS], *overlaps).first())) / total
-        residual, overlap = got[:k] - target, got[k:].reshape(k, k)
-        if np.abs(residual).max() <= CLOSE:
-            break
+        residual, overlap = got[:k][wanted] - target, got[k:].reshape(k, k)[np.ix_(wanted, wanted)]
+        worst = np.abs(residual).max()
+        if worst < best:
+            best, at, unmet = worst, len(steps), dict(zip([DOMAINS[x] for x in wanted], residual.round(6).tolist(), strict=True))
+        if worst <= CLOSE:
+            return steps
+        if worst < mark * (1 - FALL):
+            mark, since = worst, len(steps)
+        elif len(steps) - since >= PATIENCE:
+            logging.getLogger(__name__).warning("mixing targets unmet after %d rounds, residual shares of tokens %s", len(steps), unmet)
+            return steps[:at]
+        step = np.zeros(k)
+        step[wanted] = np.linalg.solve(overlap + 1e-4 * np.eye(len(wanted)), residual)
         # rounded so that the order in which executors add up does not show
-        steps.append([round(float(x), 9) for x in np.linalg.solve(overlap + 1e-4 * np.eye(k), residual)])
-    return steps
+        steps.append([round(float(x), 9) for x in step])
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import decontaminate, html, lines, mixing, neardup, toolcalls, topk
 
 SCHEMA = "doc_id long, text string, source string, hits string"
@@ -69,6 +70,28 @@ def test_mixing_meets_targets(spark):
     assert counts.tolist() == [0, 0, 0, 2] and np.allclose(post.sum(axis=1), 1)
 
 
+def test_mixing_goes_on_and_says_what_is_unmet(spark, caplog):
+    rng = np.random.default_rng(1)
+    schema = "doc_id long, key long, tokens long, p_low double, p_good double, p_toxic double"
+    table = lambda toxic: spark.createDataFrame([(k, k, 100, *map(float, (1 - t) * x), float(t)) for k, t in enumerate(toxic) for x in [rng.dirichlet([0.3, 1.0])]], schema)
+
+    def shares(df, steps):
+        got = df.withColumn("r", mixing.rate_of(steps)).toPandas()
+        return [(got.r * got.tokens * got[f"p_{d}"]).sum() / got.tokens.sum() for d in mixing.DOMAINS], got.r.max()
+
+    few = table([0.3 if k < 1 else 0.0 for k in range(10000)])
+    steps = mixing.fit_rates(few, mixing.WEIGHTS)
+    assert len(steps) > 15 and not caplog.records
+    assert np.abs(np.array(shares(few, steps)[0]) - list(mixing.WEIGHTS.values())).max() < 2e-3
+    none = table([0.0] * 400)
+    mixing.fit_rates(none, mixing.WEIGHTS)
+    assert "unmet" in caplog.text and "'toxic': -0.02" in caplog.text
+    caplog.clear()
+    trace = table([1e-4] * 400)
+    got, most = shares(trace, mixing.fit_rates(trace, corpus_pipeline.WEIGHTS))
+    assert not caplog.records and most < 5 and abs(got[0] - corpus_pipeline.WEIGHTS["low"]) < 2e-3
+
+
 def test_tool_calls(spark):
     schemas = {"add": {"a": ("integer", True), "b": ("number", False)}}
     calls = spark.createDataFrame(
