@@ -36,8 +36,6 @@ OVER, UNDER = 4, 5
 SAMPLE, COMMON = 20_000, 30_000
 #: Shingles of a text dealt in the first round, and how the distance compared in a bucket grows.
 FIRST, STEP = 4, 8
-#: Bits that bound the difference of two sets from below: each bit is the parity of the shingles that fall on it.
-PARITIES = 1024
 #: Pairs or labels that are sent to every executor at most.
 SMALL = 500_000
 _EDGES = b".,;:!?\"'()[]{}*#%&$|"
@@ -62,6 +60,13 @@ def _prefix(h: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
     return h[np.lexsort((h, rank))[: len(h) - -(-OVER * len(h) // UNDER) + 1]]
 
 
+def _parities(h: np.ndarray) -> np.ndarray:
+    """Parities of the shingles that fall on each of 2 n bits or more, a power of two: where two sets differ, at most as many bits do."""
+    width = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
+    parity = np.bincount((h % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def _node(words: list[bytes]) -> int:
     """The id of a folded text."""
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
@@ -75,8 +80,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, often: np.n
             h = shingles(words)
             node.append(_node(words))
             n.append(len(h))
-            parity = np.bincount((h % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-            odd.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+            odd.append(_parities(h))
             first.append(h[:FIRST].view(np.int64))
             head.append(_prefix(h, common, often).view(np.int64))
         yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (odd, first, head))], ["key", "node", "n", "odd", "first", "head"])
@@ -118,8 +122,10 @@ def verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     pairs = pairs.distinct()
     for x in "ab":
         pairs = pairs.join(reps.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "odd")]), x)
-    # sets differ in as many shingles as their parities at least
-    differ = F.expr("aggregate(zip_with(odd_a, odd_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    # sets differ in as many shingles as their parities at least; sizes within SIMILARITY differ by one doubling of the width at most
+    folded = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
+    a, b = folded.format("odd_a", "odd_b"), folded.format("odd_b", "odd_a")
+    differ = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     pairs = checkpoint(pairs.filter((OVER + UNDER) * differ <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "key_a", "key_b"))
 
     def sets(x: str) -> DataFrame:
