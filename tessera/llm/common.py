@@ -1,13 +1,16 @@
-"""Helpers shared by the operators: bounded Arrow batches, checkpoints, connected components."""
+"""Helpers shared by the operators: bounded Arrow batches, checkpoints, row keys, samples, connected components."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows and bytes handed to a Python worker at once; a longer text comes alone.
+#: Rows and bytes of text that a Python worker works on at once; a longer text comes alone.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
@@ -15,18 +18,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bounded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that what a worker makes of one is bounded, whatever the session's batch size."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_pylist()
+        first = held = 0
+        for k, n in enumerate(sizes):
+            if k > first and (held + n > BATCH_BYTES or k - first >= BATCH_ROWS):
+                yield b.slice(first, k - first)
+                first, held = k, 0
+            held += n
+        yield b.slice(first)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a fresh local one only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets one of its own and a cluster an error."""
     sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint"))
+    return folder or sc.getCheckpointDir()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -35,14 +53,49 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of bigint columns that leaves behind what Catalyst infers of them: in loops those constraints multiply from round to round."""
+    return checkpoint(df).select(*[F.col(c).bitwiseXOR(F.lit(0).cast("bigint")).alias(c) for c in df.columns])
+
+
 def spread(df: DataFrame, *by: str) -> DataFrame:
-    """Over all shuffle partitions: what follows makes many rows of each, which AQE cannot know when it joins small partitions."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    """Over all shuffle partitions, also where ``df`` is dealt by these columns already: what follows makes many
+    rows of each, which AQE cannot know when it joins small partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*by, F.lit("spread")))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or where ``df`` has it already the name with underscores behind it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def row_key(key: str = "doc_id", text: str = "text") -> Column:
-    """The document's id, or where it is null a hash of its text: a key to rejoin rows by."""
-    return F.coalesce(F.col(key).cast("bigint"), F.xxhash64(F.coalesce(text, F.lit(""))))
+    """What only rows with the same id and text share (a null text counts as empty); rows without an id sort last."""
+    i = F.col(key).cast("bigint")
+    key = F.struct(i.isNull().alias("none"), i.alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("hash"))
+    return key.cast("struct<none:boolean,id:bigint,hash:bigint>")  # as it comes back from Python, so that joins need no cast
+
+
+def labelled_sample(docs: DataFrame, chosen: DataFrame, by: str, chars: int) -> pa.Table:
+    """``doc_id, <by>, text`` of the labelled rows ``chosen`` (``doc_id, <by>``; few, as the caller limits them).
+
+    One text for each label (of documents that repeat an id, the smallest). For each value of ``by`` the texts are
+    taken in the order of a hash of their id as long as they have at most ``chars`` characters together."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # the labels are limited by the caller, and so is the broadcast side
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", by).agg(F.coalesce(F.min("text"), F.lit("")).alias("text"))
+    found = checkpoint(joined.withColumn("chars", F.char_length("text").cast("bigint")))
+    order = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fits = found.select("doc_id", by, F.sum("chars").over(order).alias("upto")).filter(F.col("upto") <= chars).select("doc_id", by)
+    return found.join(F.broadcast(fits), ["doc_id", by]).select("doc_id", by, "text").toArrow().sort_by([("doc_id", "ascending"), (by, "ascending")])
 
 
 def _scramble(x: Column) -> Column:
@@ -62,24 +115,24 @@ def components(edges: DataFrame) -> DataFrame:
     renamed, loops and repeats go. The maps of the rounds are then composed backwards. Minima combine
     before the shuffle; renaming is an equi-join whose hot side AQE may split.
     """
-    edges = checkpoint(edges.select("a", "b"))  # read twice below
+    edges = _settled(edges.select("a", "b"))  # read twice below
     e = edges.select(_scramble(F.col("a")).alias("a"), _scramble(F.col("b")).alias("b")).filter("a <> b").distinct()
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    e, maps = checkpoint(e), []
+    e, maps = _settled(e), []
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
+        to = _settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
         maps.append(to)
         left = e.join(to.select(F.col("n").alias("a"), F.col("m").alias("x")), "a").select("x", "b")
         new = left.join(to.select(F.col("n").alias("b"), F.col("m").alias("y")), "b").filter("x <> y")
-        e = checkpoint(new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        e = _settled(new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     label = None
     for to in reversed(maps):
         if label is None:
             label = to.select("n", F.col("m").alias("label"))
         else:
             later = label.select(F.col("n").alias("m"), "label")
-            label = checkpoint(to.join(later, "m", "left").select("n", F.coalesce("label", "m").alias("label")))
+            label = _settled(to.join(later, "m", "left").select("n", F.coalesce("label", "m").alias("label")))
     if label is None:
         return nodes.select("node", F.col("node").alias("label"))
     return nodes.withColumn("n", _scramble(F.col("node"))).join(label, "n", "left").select("node", F.coalesce("label", "n").alias("label"))

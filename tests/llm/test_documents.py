@@ -1,5 +1,7 @@
 """Secrets, sharding, toxicity and SimHash against plain versions, and their odd rows."""
 
+import random
+import re
 import zlib
 
 import numpy as np
@@ -38,9 +40,29 @@ def docs(spark):
 def test_trigram_queries():
     by = {r.kind: r for r in secret_scan.RULES}
     assert by["access"].query() == [["aki", "kia"]] and by["hex"].query() is None
-    assert ["tok", "oke", "ken"] in by["assign"].query()
-    assert secret_scan.Rule("x", "ab", ("ab", "abcd")).query() is None
-    assert len(secret_scan.trigrams(secret_scan.RULES)) <= 63
+    assert ["ken", "oke", "tok"] in by["assign"].query() and len(by["assign"].query()) == 6
+    rule = lambda p: secret_scan.Rule("x", p).query()
+    assert rule("ab|abcd") is None and rule("a[^x]cde") == [["cde"]] and rule("(?:ab)?cde") == [["cde"]] and rule("x{3}abc.*?def") == [["abc", "def", "xab"]]
+    assert rule("a.c") is None and rule("[ab]cd[0-9]efg") == [["acd", "efg"], ["bcd", "efg"]]
+
+
+def test_trigram_queries_never_miss():
+    rng = random.Random(3)
+    parts = ["ab", "[xy]", "c?", "(?:foo|bars?)", "[0-9]+", "d{2,3}", ".", "key", "(Z|w)*", "\\bq", "[^a]", "E{1}"]
+    for _ in range(300):
+        pattern = "".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))
+        clauses = secret_scan.Rule("x", pattern).query()
+        for _ in range(30):
+            text = "".join(rng.choice(["ab", "x", "y", "c", "foo", "bar", "bars", "12", "dd", "ddd", "?", "key", "Z", "w", " q", "k", "E", "abx"]) for _ in range(8))
+            if clauses is not None and (m := re.search(pattern, text)):
+                assert any(all(g in m[0].lower() for g in c) for c in clauses), (pattern, text, clauses)
+
+
+def test_many_rules(spark, odd):
+    extra = tuple(secret_scan.Rule(f"r{n}", f"mark{n:03d}[a-z]+") for n in range(80))
+    docs = spark.createDataFrame([(1, "x mark079abc", "s"), (2, "mark000z mark041q", "s"), (3, None, None)], SCHEMA)
+    assert len(secret_scan.trigrams(extra)) > 63
+    assert rows(secret_scan.scan(docs, secret_scan.RULES + extra), "doc_id", "spans") == [(1, "r79:2:12"), (2, "r0:0:8,r41:9:17"), (3, "")]
 
 
 def test_secrets(spark, odd, none):
@@ -96,19 +118,50 @@ def test_toxicity_learns_subwords():
     base = ["there", "ration", "onward", "blend", "stone", "inert", "handle", "other"]
     text = lambda bad: " ".join(str(w) for w in rng.choice(base, 60)) + (f" {bad}{rng.integers(100)} {bad}{rng.integers(100)}" if bad else "")
     texts = [text("grumbl" if k % 4 == 0 else "") for k in range(160)]
-    model = toxicity.train(texts, np.array([k % 4 == 0 for k in range(160)]), steps=80)
+    model = toxicity.train(pa.array(texts), np.array([k % 4 == 0 for k in range(160)]), steps=80)
     got = toxicity.score_texts(pa.array(["stone other blend grumblzzz inert", "stone other blend inert", "", None, "  ", "other " * 20000 + "grumblxy grumbly " + "stone " * 20000, "other " * 20000 + "stone " * 20000]), model)
     # two unseen spellings among 40,000 words still stand out; how far depends on what was learned
     assert got[0] > 0.7 and got[5] > 5 * got[6] and max(got[1:5]) < 0.5 and len({*got[2:5]}) == 1
     assert toxicity.score_texts(pa.array([], pa.string()), model).shape == (0,)
-    assert np.allclose(toxicity.score_texts(pa.array(["a b"]), toxicity.train([], np.array([]))), 0, atol=1e-3)
+    assert np.allclose(toxicity.score_texts(pa.array(["a b"]), toxicity.train(pa.array([], pa.string()), np.array([]))), 0, atol=1e-3)
+
+
+def test_toxicity_of_blank_and_very_long_texts(spark):
+    model = np.random.default_rng(0).normal(0, 1, toxicity.BUCKETS + 1).astype(np.float32)
+    bias = 1 / (1 + np.exp(-float(model[-1])))
+    for texts, blank in ((["", None], [0, 1]), (["a b c", ""], [1]), (["", "a b c"], [0]), (["  \n ", "x", None, "y z"], [0, 2])):
+        got = toxicity.score_texts(pa.array(texts), model)
+        assert len(got) == len(texts) and np.allclose(got[blank], bias)
+    long = "word " * 200_000 + "insult"
+    some = toxicity.score_texts(pa.array([long, None, "insult"]), model)
+    # the last window is read like any other, however long the text before it
+    assert some[0] >= toxicity.score_texts(pa.array(["word " * 47 + "insult"]), model)[0] - 1e-9
+    # every word of a window counts once, all of a text's windows are judged
+    one = toxicity.word_logits(pa.array(["word", "insult"]), model)
+    assert np.isclose(np.log(some[0] / (1 - some[0])), max(one.sum(), one[0]) + float(model[-1]), atol=1e-4)
+
+
+def test_toxicity_sample_has_long_texts_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "b " * 20_000), (1, "a"), (2, None), (3, "c" * 30), (4, "d" * 30), (None, "e")], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
+    got = common.labelled_sample(docs, chosen, "toxic", 30).to_pylist()
+    assert [(r["doc_id"], r["text"]) for r in got][:2] == [(1, "a"), (2, "")] and len(got) == 3
+    assert len(common.labelled_sample(docs.filter("text is null or doc_id > 1 or text <> 'a'"), chosen, "toxic", 10**6)["text"][0].as_py()) == 40_000
+    assert len(common.labelled_sample(docs.limit(0), chosen, "toxic", 30)) == 0
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "some words", 0.5, 2.5, "x", "y")], "doc_id long, text string, score double, Score_ double, hits string, scored_text string")
+    model = toxicity.train(pa.array([], pa.string()), np.array([]))
+    got = toxicity.score(docs, model, keep_text=True, name=common.free(docs, "score"))
+    assert got.columns == [*docs.columns, "score__"] and tuple(got.first())[:6] == tuple(docs.first())
 
 
 def test_toxicity_query(spark, odd, none):
     got = queries.op8_toxicity(spark, SF).collect()
     assert len(got) == len(docs(spark)) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
-    model = toxicity.train([], np.array([]))
+    model = toxicity.train(pa.array([], pa.string()), np.array([]))
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(none, model).count() == 0
 
 
