@@ -31,7 +31,11 @@ def op5_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 def op6_tool_calls(spark: SparkSession, d: str) -> DataFrame:
     calls, results = toolcalls.turns(read(spark, d, "conversations"))
-    return toolcalls.link(calls, results, toolcalls.TURNS).select("conv_id", "turn", "call_id", "level", "valid", "n_results", "json")
+    linked = toolcalls.link(calls, results, toolcalls.TURNS)
+    lone = toolcalls.orphans(calls, results)
+    nothing = {"level": F.lit(None).cast("int"), "n_missing": F.lit(0).cast("bigint"), "valid": F.lit(False), "n_results": F.lit(0).cast("bigint"), "json": F.to_json(F.struct(F.col("call_id").alias("id"), F.col("content").alias("result")))}
+    cols = ["conv_id", "turn", "call_id", *nothing]
+    return linked.select(*cols).unionByName(lone.withColumns(nothing).select(*cols))
 
 
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -68,13 +72,21 @@ ORACLE: dict[str, str] = {
         r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 5""",
     "op6_tool_calls": """
-        with recursive c as (select conv_id, turn, text, concat(conv_id, ':', turn) as call_id from conversations where role = 'user'),
-        r as (select concat(conv_id, ':', turn - 1) as call_id, min(text) as content, count(*) as n from conversations where role = 'assistant' group by 1),
-        l as (select conv_id, turn, 0 as level from c a where not exists (select 1 from c b where b.conv_id = a.conv_id and b.turn = a.turn - 2)
-              union all select c.conv_id, c.turn, level + 1 from l join c on c.conv_id = l.conv_id and c.turn = l.turn + 2)
-        select c.conv_id, c.turn, c.call_id, cast(l.level as int) as level, true as valid, coalesce(r.n, 0) as n_results,
-               '{"arguments":{"text":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":' || to_json(c.call_id) || ',"name":"reply"' || coalesce(',"result":' || to_json(r.content), '') || '}' as json
-        from c join l using (conv_id, turn) left join r using (call_id)""",
+        with recursive m as (select *, conv_id || ':' || turn as me, conv_id || ':' || (turn - 1) as one, conv_id || ':' || (turn - 2) as two, coalesce(role = 'assistant', false) as reply from conversations),
+        c as (select conv_id, turn, text, me as call_id, one, two, case when role = 'user' then 'reply' else role end as name from m where not reply),
+        r as (select one as call_id, min(text) as content, count(*) as n from m where reply and one is not null group by 1),
+        e as (select distinct a.call_id, b.call_id as dep from c a join c b on b.call_id in (a.one, a.two)),
+        l as (select distinct call_id, 0 as level from c where call_id is not null and call_id not in (select call_id from e)
+              union select e.call_id, l.level + 1 from l join e on e.dep = l.call_id),
+        h as (select call_id, max(level) as level from l group by 1),
+        k as (select call_id, count(*) as n from e group by 1)
+        select c.conv_id, c.turn, c.call_id, cast(h.level as int) as level, case when c.call_id is null then 0 else 2 - coalesce(k.n, 0) end as n_missing,
+               coalesce(c.name = 'reply' and c.text is not null and c.turn is not null, false) as valid, coalesce(r.n, 0) as n_results,
+               '{"arguments":{' || coalesce('"text":' || to_json(c.text) || ',', '') || '"turn":' || c.turn || '},"id":' || to_json(c.call_id) || ',"name":' || to_json(c.name) || coalesce(',"result":' || to_json(r.content), '') || '}' as json
+        from c left join h using (call_id) left join k using (call_id) left join r using (call_id)
+        union all
+        select conv_id, turn, one, null, 0, false, 0, '{' || coalesce('"id":' || to_json(one), '') || coalesce(case when one is null then '' else ',' end || '"result":' || to_json(text), '') || '}'
+        from m where reply and (one is null or one not in (select call_id from c where call_id is not null))""",
     "op7_line_dedup": r"""
         with d as (select doc_id, source, text, string_split(text, chr(10)) as ls from documents),
         x as (select doc_id, source, unnest(ls) as line, unnest(range(len(ls))) as pos from d),
