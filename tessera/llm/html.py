@@ -6,8 +6,10 @@ order, as hashed vectors of path and words and a few measures, and labels each b
 not, with the rest of the page as context. It is trained here on pages that a generator composes from
 known parts, so their labels are exact, with invented words, so it learns structure and not vocabulary.
 
-Scripts, styles, comments and templates are not text and never become blocks. Rows: null and empty pages have no
-text; repeated rows are extracted alike; broken markup ends where the page ends; extra columns are ignored.
+Scripts, styles, comments and form fields are not text and never become blocks; what other elements hold is the labeller's
+to judge. Tags are read as browsers do (quotes count after an equals sign, a quote without an end does not), in time that grows with the
+page's length alone, and states of the LSTM are held for STEPS blocks at a time. Rows: null and empty pages have no
+text; repeated rows are extracted alike; broken markup ends where the page ends; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import html as references
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -24,19 +27,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded
 
-#: Elements without an end tag, elements whose content is not text, and elements that run on within a block.
+#: Elements without an end tag, elements whose content is not text, and elements that stand as blocks; all others run on within a block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-SILENT = frozenset("script style noscript template svg head title textarea select iframe object math".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^<]*$|[^<]+|<", re.S)
+SILENT = frozenset("script style head title textarea select".split())
+BLOCK = frozenset(
+    "address article aside blockquote body button caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html "
+    "label legend li main menu nav noframes ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
+)
+#: Elements that end where the next of their kind begins.
+OPEN_ENDED = frozenset("p li dt dd tr td th option".split())
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PART = re.compile(r"[A-Za-z]+")
+_PART, _NAME = re.compile(r"[A-Za-z]+"), re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_TAG_STOP = re.compile(r">|=\s*[\"']")
 #: Where elements end whose content has no markup.
 _RAW = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in ("script", "style")}
 #: White space of the markup; other spaces (such as no-break) are squeezed as well.
 _SPACE = re.compile(r"\s+")
+#: How far up an end tag of an inline element looks for its start.
+NEAR = 64
+
+PATH, WORDS, MEASURES = 96, 32, 6
+WIDTH, HIDDEN = PATH + WORDS + MEASURES, 20
+#: Blocks read at a time.
+STEPS = 512
+
+
+@lru_cache(maxsize=65536)
+def _slot(name: str, n: int) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % n
 
 
 @lru_cache(maxsize=8192)
@@ -45,99 +65,151 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return (f"<{tag}>", *(w.lower() for w in _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", marks))))
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path names, text, characters inside links) of each block in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Page:
+    """Where tags begin and end, in one pass over the source."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.final = {q: source.rfind(q) for q in "\"'"}
+
+    def tag_end(self, at: int) -> int:
+        """The position of the ``>`` that ends the tag open at ``at``, or -1: the page ends within it."""
+        while at <= self.last and (m := _TAG_STOP.search(self.source, at)):
+            at = m.end()
+            if m[0] == ">":
+                return at - 1
+            if self.final[m[0][-1]] >= at:  # else the quote has no end and is a character like any other
+                at = self.source.index(m[0][-1], at) + 1
+        return -1
+
+
+#: (hashed names of the path as bits, those of its last two, number of names), text, characters inside links
+Cut = tuple[tuple[int, int, int], str, int]
+
+
+def blocks(page: str | None) -> list[Cut]:
+    """Each block in page order."""
+    page = page or ""
+    out: list[Cut] = []
+    #: tag, bits of the path down to it, its last two names, number of names
+    stack: list[tuple[str, int, tuple[str, ...], int]] = []
+    opened: Counter[str] = Counter()
     run: list[str] = []
     linked = silent = 0
-    path: tuple[str, ...] | None = None
+    path: tuple[int, int, int] | None = None
+    reader = Page(page)
 
     def close() -> None:
         nonlocal linked, path
         if run:
             text = _SPACE.sub(" ", references.unescape("".join(run))).strip()
             if text:
-                out.append((path or (), text, linked))
+                out.append((path or (0, 0, 0), text, linked))
             run.clear()
         linked, path = 0, None
 
-    anchors = at = 0
-    page = page or ""
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            s = m[0]
-            if s[:2] in ("<!", "<?") or silent:
-                continue
-            if path is None and not s.isspace():
-                path = tuple(n for _, names in stack for n in names)
-            run.append(s)
-            if anchors:
-                linked += len(s)
+    def add(text: str) -> None:
+        nonlocal linked, path
+        if silent or not text:
+            return
+        if path is None and not text.isspace():
+            _, bits, ends, n = stack[-1] if stack else ("", 0, (), 0)
+            path = bits, sum({1 << _slot(f"last {e}", PATH) for e in ends}), n
+        run.append(text)
+        if opened["a"]:
+            linked += len(text)
+
+    def shut(k: int, upto: int) -> None:
+        nonlocal silent
+        for gone in stack[k:upto]:
+            opened[gone[0]] -= 1
+            silent -= gone[0] in SILENT
+        del stack[k:upto]
+
+    at = 0
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            add(page[at:])
+            break
+        add(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = end + 1 if end >= 0 else len(page)
             continue
-        tag = tag.lower()
-        ending = bool(m[1] or m[4])
-        if tag not in INLINE:
+        name = _NAME.match(page, start + 1)
+        if name is None:
+            add("<")
+            at = start + 1
+            continue
+        end = reader.tag_end(name.end())
+        if end < 0:
+            break
+        at, tag, attributes = end + 1, name[1].lower(), page[name.end() : end]
+        if tag in BLOCK:
             close()
         elif tag == "br":
-            run.append(" ")
+            add(" ")
         if tag in VOID:
             continue
-        if not ending:
+        if page[start + 1] != "/":
             if tag in _RAW:  # raw text until its own end tag
-                end = _RAW[tag].search(page, at)
-                at = end.end() if end else len(page)
+                closing = _RAW[tag].search(page, at)
+                at = closing.end() if closing else len(page)
                 continue
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
-            if (m[3] or "").endswith("/"):
+            if tag in OPEN_ENDED and stack and stack[-1][0] == tag:
+                shut(len(stack) - 1, len(stack))
+            if attributes.endswith("/"):
                 continue
-            stack.append((tag, _names(tag, m[3] or "")))
+            names = _names(tag, attributes)
+            _, bits, ends, n = stack[-1] if stack else ("", 0, (), 0)
+            for x in names:
+                bits |= 1 << _slot(x, PATH)
+            stack.append((tag, bits, (*ends, *names)[-2:], n + len(names)))
+            opened[tag] += 1
             silent += tag in SILENT
-            anchors += tag == "a"
-        else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for gone, _ in stack[k:] if tag not in INLINE else stack[k : k + 1]:
-                        silent -= gone in SILENT
-                        anchors -= gone == "a"
-                    del stack[k : len(stack) if tag not in INLINE else k + 1]
-                    break
+        elif opened[tag] > 0:
+            least = -1 if tag in BLOCK else max(-1, len(stack) - 1 - NEAR)
+            k = next((k for k in range(len(stack) - 1, least, -1) if stack[k][0] == tag), None)
+            if k is not None:
+                shut(k, len(stack) if tag in BLOCK else k + 1)
     close()
     return out
 
 
-PATH, WORDS, MEASURES = 96, 32, 6
-WIDTH, HIDDEN = PATH + WORDS + MEASURES, 20
-
-
-@lru_cache(maxsize=65536)
-def _slot(name: str, n: int) -> int:
-    return zlib.crc32(name.encode()) % n
+def _bits(mask: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(mask.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little")
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def vectors(page: list[Cut]) -> np.ndarray:
     x = np.zeros((len(page), WIDTH), np.float32)
-    for k, (path, text, linked) in enumerate(page):
-        for depth, name in enumerate(path):
-            x[k, _slot(name, PATH)] = 1.0
-            if depth >= len(path) - 2:
-                x[k, _slot(f"last {name}", PATH)] = 1.0
-        words = text.split(" ", 24)[:24]
-        for w in words:
-            x[k, PATH + _slot(w.lower(), WORDS)] += 1.0 / len(words)
+    for k, ((path, ends, depth), text, linked) in enumerate(page):
+        x[k, :PATH] = _bits(path | ends)
+        words = text.lower().split(" ")
+        x[k, PATH : PATH + WORDS] = np.bincount([_slot(w, WORDS) for w in words], minlength=WORDS) / len(words)
         n = len(text)
-        x[k, -6:] = np.log1p(n) / 6, min(1.0, linked / n), len(words) / 24, text[-1] in ".!?:;\"", len(path) / 16, sum(c.isdigit() for c in text[:64]) / min(n, 64)
+        x[k, -6:] = np.log1p(n) / 6, min(1.0, linked / n), np.log1p(len(words)) / 4, text[-1] in ".!?:;\"", min(depth, 64) / 16, len(text.translate(_NO_DIGITS)) / n
     return x
 
 
-def _lstm(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states (time, batch, hidden); steps outside the mask carry the state."""
+#: Leaves the characters that are not ASCII digits.
+_NO_DIGITS = str.maketrans("", "", "0123456789")
+
+
+def _lstm(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, state=None, tape: list | None = None) -> tuple[np.ndarray, tuple]:
+    """Hidden states (time, batch, hidden) and the last state; steps outside the mask carry the state. What training needs goes on the tape."""
     steps, batch, _ = x.shape
-    h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
-    out, tape = np.zeros((steps, batch, HIDDEN), np.float32), []
+    h, c = state or (np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32))
+    out = np.zeros((steps, batch, HIDDEN), np.float32)
     pre = x @ wx + b
     for t in range(steps):
         z = pre[t] + h @ wh
@@ -147,11 +219,12 @@ def _lstm(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np
         m = mask[t][:, None]
         c_new = f * c + i * g
         tc = np.tanh(c_new)
-        tape.append((h, c, i, f, o, g, tc, m))
+        if tape is not None:
+            tape.append((h, c, i, f, o, g, tc, m))
         c = np.where(m, c_new, c)
         h = np.where(m, o * tc, h)
         out[t] = h
-    return out, tape
+    return out, (h, c)
 
 
 def _lstm_back(x, d_out, tape, wh):
@@ -171,11 +244,13 @@ def _lstm_back(x, d_out, tape, wh):
     return dwx, dwh, db
 
 
-def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    n = max(map(len, pages))
-    x, mask = np.zeros((n, len(pages), WIDTH), np.float32), np.zeros((n, len(pages)), bool)
+def _padded(pages: list[list[Cut]], lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and mask of the blocks ``lo`` to ``hi`` of each page."""
+    x, mask = np.zeros((hi - lo, len(pages), WIDTH), np.float32), np.zeros((hi - lo, len(pages)), bool)
     for k, p in enumerate(pages):
-        x[: len(p), k], mask[: len(p), k] = p, True
+        own = p[lo:hi]
+        if own:
+            x[: len(own), k], mask[: len(own), k] = vectors(own), True
     return x, mask
 
 
@@ -183,12 +258,22 @@ def _reversed(a: np.ndarray) -> np.ndarray:
     return a[::-1]
 
 
-def logits(model: list[np.ndarray], x: np.ndarray, mask: np.ndarray):
+def logits(model, pages: list[list[Cut]]) -> np.ndarray:
+    """(block, page): forwards over the pages and backwards, STEPS blocks at a time."""
     wx1, wh1, b1, wx2, wh2, b2, out, direct, bias = model
-    ahead, tape1 = _lstm(x, mask, wx1, wh1, b1)
-    behind, tape2 = _lstm(_reversed(x), _reversed(mask), wx2, wh2, b2)
-    both = np.concatenate([ahead, _reversed(behind)], axis=2)
-    return both @ out + x @ direct + bias, both, tape1, tape2
+    n = max(map(len, pages))
+    z, spans = np.zeros((n, len(pages)), np.float32), [(lo, min(lo + STEPS, n)) for lo in range(0, n, STEPS)]
+    state = None
+    for lo, hi in spans:
+        x, mask = _padded(pages, lo, hi)
+        h, state = _lstm(x, mask, wx1, wh1, b1, state)
+        z[lo:hi] += h @ out[:HIDDEN] + x @ direct + bias
+    state = None
+    for lo, hi in reversed(spans):
+        x, mask = (x, mask) if len(spans) == 1 else _padded(pages, lo, hi)
+        h, state = _lstm(_reversed(x), _reversed(mask), wx2, wh2, b2, state)
+        z[lo:hi] += _reversed(h) @ out[HIDDEN:]
+    return z
 
 
 _MAIN = ("article", "main", "div class='post-content'", "div id='content'", "div class='entry-content'", "section class='article-body'", "div class='story text'")
@@ -278,20 +363,25 @@ def trained(pages: int = 1200, epochs: int = 8, seed: int = 5) -> tuple[np.ndarr
         source, labels = composed(k)
         cut = blocks(source)
         if len(cut) == len(labels) and cut:
-            data.append((vectors(cut), np.array(labels, np.float32)))
+            data.append((cut, np.array(labels, np.float32)))
     shapes = [(WIDTH, 4 * HIDDEN), (HIDDEN, 4 * HIDDEN), (4 * HIDDEN,)] * 2 + [(2 * HIDDEN,), (WIDTH,), (1,)]
     model = [rng.normal(0, 0.15, s).astype(np.float32) if len(s) > 1 or s[0] > 4 else np.zeros(s, np.float32) for s in shapes]
     m1, m2 = [np.zeros_like(p) for p in model], [np.zeros_like(p) for p in model]
     step = 0
     data.sort(key=lambda d: len(d[0]))
     groups = [data[k : k + 24] for k in range(0, len(data), 24)]
+    groups = [(*_padded([d[0] for d in g], 0, len(g[-1][0])), [d[1] for d in g]) for g in groups]
     for _ in range(epochs):
         for g in rng.permutation(len(groups)):
-            x, mask = _padded([d[0] for d in groups[g]])
+            x, mask, marks = groups[g]
             y = np.zeros(mask.shape, np.float32)
-            for k, d in enumerate(groups[g]):
-                y[: len(d[1]), k] = d[1]
-            z, both, tape1, tape2 = logits(model, x, mask)
+            for k, d in enumerate(marks):
+                y[: len(d), k] = d
+            tape1, tape2 = [], []
+            ahead, _ = _lstm(x, mask, *model[:3], tape=tape1)
+            behind, _ = _lstm(_reversed(x), _reversed(mask), *model[3:6], tape=tape2)
+            both = np.concatenate([ahead, _reversed(behind)], axis=2)
+            z = both @ model[6] + x @ model[7] + model[8]
             d_z = np.where(mask, 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y, 0) / mask.sum()
             d_both = d_z[:, :, None] * model[6]
             grads = [*_lstm_back(x, d_both[:, :, :HIDDEN], tape1, model[1]), *_lstm_back(_reversed(x), _reversed(d_both[:, :, HIDDEN:]), tape2, model[4])]
@@ -312,8 +402,7 @@ def label(pages: list[list], model) -> list[np.ndarray]:
     while at < len(order):
         size = max(1, min(64, 20000 // len(pages[order[at]])))
         group = order[at : at + size]
-        x, mask = _padded([vectors(pages[k]) for k in group])
-        z = logits(model, x, mask)[0]
+        z = logits(model, [pages[k] for k in group])
         for n, k in enumerate(group):
             out[k] = z[: len(pages[k]), n] > 0
         at += size
@@ -326,13 +415,12 @@ def texts(sources: list[str | None], model) -> list[str]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in bounded(batches, "html"):
         got = texts(b.column("html").to_pylist(), model)
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
-    bounded_batches(pages.sparkSession)
     slim = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return slim.mapInArrow(partial(_extract, model=trained()), "page_id bigint, url string, text string, n_chars bigint")
