@@ -15,23 +15,26 @@ The items' tables are broadcast only piecewise: a benchmark is cut into parts of
 each part scans the documents. Items too short for a positive bound are compared by exact containment.
 
 Null texts and items are empty; an empty item matches nothing; null item ids are not reported; repeated
-documents keep their rows; extra columns are ignored.
+documents keep their rows; an empty table gives an empty one, and an empty benchmark no hits. Extra columns stay, whatever their names
+(``hits`` then gets underscores behind it).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import bounded_batches
+from .common import bounded, columns, free
 
 Q, ERROR, PART_BYTES = 8, 0.06, 2 << 20
-_BITS, TOGETHER = 22, 1 << 19
+#: Bits of the table of marked q-grams, characters marked together, and hits counted at once.
+_BITS, TOGETHER, HITS = 22, 1 << 19, 1 << 20
 
 
 def squeezed(text: str | None) -> str:
@@ -153,13 +156,18 @@ class Items:
         same = self.distinct[at] == h[marked]
         marked, at = marked[same], at[same]
         left, n = self.first[at], self.many[at]
-        pos = np.repeat(marked, n)
-        which = np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
-        item, diagonal = self.item[which], lo + pos - self.at[which]
-        band = (diagonal + self.longest) // self.step
-        # band b covers the diagonals of steps b and b + 1; in a thinned region an item needs its share of hits
-        key = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + band - 1])
-        keys, count = np.unique(key, return_counts=True)
+        keys, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # a q-gram that many items hold makes many hits: they are counted in pieces
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1
+        for part in np.split(np.arange(len(n)), cuts):
+            m = n[part]
+            which = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(left[part], m)
+            item, diagonal = self.item[which], lo + np.repeat(marked[part], m) - self.at[which]
+            band = (diagonal + self.longest) // self.step
+            # band b covers the diagonals of steps b and b + 1; in a thinned region an item needs its share of hits
+            new, of = np.unique(np.concatenate([keys, item * (1 << 40) + band, item * (1 << 40) + band - 1]), return_inverse=True)
+            count = np.bincount(of, np.concatenate([count, np.ones(2 * len(item))]), minlength=len(new)).astype(np.int64)
+            keys = new
         own = keys >> 40
         good = count >= self.share[own]
         # the fullest bands first: one verified place is enough
@@ -201,13 +209,15 @@ def banded(p: np.ndarray, text: np.ndarray, first: int, last: int, k: int) -> in
     return best if best <= k else None
 
 
-def _matches(batches: Iterator[pa.RecordBatch], rows: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+_HITS = ArrayType(StructType().add("item_id", LongType()).add("start", LongType()).add("edits", LongType()))
+
+
+def _matches(batches: Iterator[pa.RecordBatch], rows: list[tuple[int, str]], text: str, name: str) -> Iterator[pa.RecordBatch]:
     items = Items(rows)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("edits", pa.int64())]))
-    for b in batches:
-        hits = [[dict(zip(("item_id", "start", "edits"), f, strict=True)) for f in found] for found in items.find_all(b.column("text").to_pylist())]
-        names = b.schema.names
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(names))), pa.array(hits, kind)], [*names, "hits"])
+    for b in bounded(batches, text):
+        hits = [[dict(zip(("item_id", "start", "edits"), f, strict=True)) for f in found] for found in items.find_all(b.column(text).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, kind)], [*b.schema.names, name])
 
 
 def parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
@@ -225,17 +235,10 @@ def parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of the documents and ``hits``, an array of (item_id, start, edits) in the normalised text."""
-    bounded_batches(docs.sparkSession)
-    docs = docs.withColumn("text", F.col("text").cast("string")).drop("hits")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    one = "array<struct<item_id:bigint,start:bigint,edits:bigint>>"
-    out = docs
-    pieces = parts(benchmark)
-    for n, rows in enumerate(pieces):
-        out = out.mapInArrow(partial(_matches, rows=rows), f"{fields}, hits {one}")
-        if n + 1 < len(pieces) or n:
-            out = out.withColumnRenamed("hits", f"_hits{n}")
-            fields += f", `_hits{n}` {one}"
-    if len(pieces) > 1:
-        out = out.withColumn("hits", reduce(F.concat, [F.col(f"_hits{n}") for n in range(len(pieces))])).drop(*[f"_hits{n}" for n in range(len(pieces))])
-    return out
+    text = free(docs, "searched_text")
+    out, found = docs.withColumn(text, F.col("text").cast("string")), []
+    for rows in parts(benchmark):
+        found.append(free(out, "hits"))
+        out = out.mapInArrow(partial(_matches, rows=rows, text=text, name=found[-1]), StructType([*out.schema.fields]).add(found[-1], _HITS))
+    hits = F.concat(*[F.col(f) for f in found]) if len(found) > 1 else F.col(found[0])
+    return out.select(*columns(docs), hits.alias(found[0]))
