@@ -1,6 +1,6 @@
 """Contiguous, balanced shards from global prefix sums of byte sizes.
 
-Rows are range-partitioned in their order (doc_id, then checksum and size); every partition
+Rows are range-partitioned in their order (doc_id, then checksum and size, equal rows at random); every partition
 contributes one total, the running totals of those give each partition its offset, and the offset
 plus the running size inside the partition is the row's global position in bytes. Cutting the
 position of each row's middle at equal targets gives shards of consecutive rows whose sizes differ from
@@ -45,8 +45,9 @@ def shards(docs: DataFrame, n: int = 24, parts: int | None = None, text: str = "
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``; law is always ``bytes``."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), byte_size(text).alias("size"), checksum(text).alias("text_crc32"))
-    placed = positions(sizes, ["doc_id", "text_crc32", "size"], parts)
+    sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), byte_size(text).alias("size"), checksum(text).alias("text_crc32"), F.rand(7).alias("salt"))
+    # the salt only parts rows that are equal in all else, so that many of them share no range
+    placed = positions(sizes, ["doc_id", "text_crc32", "size", "salt"], parts)
     cut = placed.withColumn("shard", F.expr(f"least({n - 1}, cast(((2 * start + size) * {n}) div (2 * total) as int))"))
     # shards are consecutive: a row's slot is its distance from the first row of its shard
     opens = cut.groupBy("shard").agg(F.min("number").alias("opens"))
