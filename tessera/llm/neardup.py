@@ -1,18 +1,21 @@
-"""Near-duplicate removal as an exact similarity join: sets of five-word shingles, Jaccard similarity 0.8 or more.
-
-Two sets at similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in whatever order all sets
-are sorted by (prefix filter). Every distinct text is dealt by these shingles, and texts that meet are candidates unless
+"""Near-duplicate removal: SimHash ball hashing first, then an exact similarity join for what fingerprints cannot reach.
+
+Texts are near duplicates where their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Equal texts (after folding
+case and outer punctuation) collapse first. Then every distinct 64-bit SimHash of a set emits all variants within one bit, those
+that meet within two bits are candidates (``simhash.links``), and their sets are compared: this joins large groups of copies at a cost of one
+ball a text. Pairs at 0.8 differ in about ten bits of 64, though, beyond any ball that could be emitted, so the rest is exact:
+two sets at similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in whatever order all sets
+are sorted by (prefix filter). Every text is dealt by these shingles, and texts of different components that meet are candidates unless
 their sizes, the shingle's positions or the sets' parities rule the pair out. The sets of the rest are compared, so exactly the pairs at
 SIMILARITY link. Shingles common in a sample of the texts come last in the order: it holds for any sample
-and keeps shared passages out of the prefixes. Equal texts (after folding case and outer punctuation) collapse first.
+and keeps shared passages out of the prefixes.
 
-Only connected components are wanted, so a pair within a component is not compared. A first round compares
-each text with one hub in the buckets of its FIRST smallest hashes alone; then all prefixes are dealt with the labels found, buckets of one label
+Only connected components are wanted, so a pair within a component is not compared: buckets of one label
 go, and rounds compare rows at most STEP, STEP ** 2, ... places apart until every pair of different labels in every
 bucket has been compared. A large group so costs a few comparisons a row, and no bucket is cut.
 
-Rows: null and empty texts are one group of equal texts; null doc_ids and repeated rows are handled by the row's
-key and content: of rows that agree in both one stays. All columns of the kept rows stay as they are.
+Rows: null and empty texts are one group of equal texts; of each group the row with the smallest doc_id stays (one without an id
+only if the group has no other), of rows that agree in id and text one. Extra columns of the kept rows stay, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,21 +26,24 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, components, row_key, spread
-from .simhash import shingle_hashes
+from .common import bounded, checkpoint, columns, components, row_key
+from .simhash import links, majority, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: SIMILARITY as a ratio of integers: comparisons are exact.
 OVER, UNDER = 4, 5
 #: Texts of the sample that orders the shingles, and the most shingles taken to be common in it.
-SAMPLE, COMMON = 20_000, 30_000
-#: Shingles of a text dealt in the first round, and how the distance compared in a bucket grows.
-FIRST, STEP = 4, 8
+SAMPLE, COMMON = 5_000, 30_000
+#: How the distance compared in a bucket grows.
+STEP = 8
 #: Pairs or labels that are sent to every executor at most.
 SMALL = 500_000
+#: The types of the columns that Python workers return.
+KEY = "key struct<none:boolean,id:bigint,hash:bigint>"
+REPS = f"{KEY}, node bigint, n bigint, fp bigint, odd array<bigint>, head array<bigint>"
 _EDGES = b".,;:!?\"'()[]{}*#%&$|"
 
 
@@ -72,22 +78,29 @@ def _node(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in bounded(batches, "text"):
+        node = [_node(folded_words(x.as_py() or b"")) for x in b.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(node, pa.int64())], ["key", "node"])
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        node, n, odd, first, head = [], [], [], [], []
+    for b in bounded(batches, "text"):
+        node, n, fp, odd, head = [], [], [], [], []
         for x in b.column("text").cast(pa.binary()):
             words = folded_words(x.as_py() or b"")
             h = shingles(words)
             node.append(_node(words))
             n.append(len(h))
+            fp.append(majority(h[k : k + (1 << 15)] for k in range(0, len(h), 1 << 15)))
             odd.append(_parities(h))
-            first.append(h[:FIRST].view(np.int64))
             head.append(_prefix(h, common, often).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (odd, first, head))], ["key", "node", "n", "odd", "first", "head"])
+        fp = pa.array(np.array(fp, np.uint64).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), fp, *(pa.array(x, pa.list_(pa.int64())) for x in (odd, head))], ["key", "node", "n", "fp", "odd", "head"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in bounded(batches, "text"):
         node, whole = [], []
         for x in b.column("text").cast(pa.binary()):
             words = folded_words(x.as_py() or b"")
@@ -100,8 +113,8 @@ def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that several texts of a sample hold, and in how many (as a power of two)."""
     every = max(1, slim.count() // SAMPLE)
     sample = slim.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(every)) == 0)
-    held = sample.mapInArrow(_sets, "node bigint, whole array<bigint>").dropDuplicates(["node"]).select(F.explode("whole").alias("h"))
-    top = held.groupBy("h").count().filter("count > 3").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
+    held = sample.mapInArrow(_sets, "node bigint, whole array<bigint>").select(F.explode("whole").alias("h"))
+    top = held.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.log2(top["count"].to_numpy(float)).astype(np.int64)[order]
@@ -117,31 +130,34 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def _either(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """What stands in one of two columns, once."""
+    return checkpoint(pairs.select(F.explode(F.array(a, b)).alias(name)).distinct())
+
+
 def verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets are at SIMILARITY or above."""
-    pairs = pairs.distinct()
+    pairs = checkpoint(pairs.distinct())
+    # as long as the pairs are few, sketches and texts stay where they are and only those of candidates move
+    own = reps.select("node", "key", "n", "odd").join(_sent(_either(pairs, "a", "b", "node")), "node", "left_semi")
     for x in "ab":
-        pairs = pairs.join(reps.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "odd")]), x)
+        pairs = pairs.join(own.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "odd")]), x)
     # sets differ in as many shingles as their parities at least; sizes within SIMILARITY differ by one doubling of the width at most
     folded = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
     a, b = folded.format("odd_a", "odd_b"), folded.format("odd_b", "odd_a")
     differ = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     pairs = checkpoint(pairs.filter((OVER + UNDER) * differ <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "key_a", "key_b"))
-
-    def sets(x: str) -> DataFrame:
-        # texts stay where they are as long as the pairs are few; only sets of candidates move
-        keys = _sent(checkpoint(pairs.select(F.col(f"key_{x}").alias("key")).distinct()))
-        found = slim.join(keys, "key", "left_semi").mapInArrow(_sets, "node bigint, whole array<bigint>")
-        return found.select(F.col("node").alias(x), F.col("whole").alias(f"set_{x}"))
-
-    both = sets("b").join(_sent(pairs.select("a", "b")), "b").join(sets("a"), "a")
+    sets = slim.join(_sent(_either(pairs, "key_a", "key_b", "key")), "key", "left_semi").mapInArrow(_sets, "node bigint, whole array<bigint>")
+    both = pairs.select("a", "b")
+    for x in "ab":
+        both = both.join(sets.select(F.col("node").alias(x), F.col("whole").alias(f"set_{x}")), x)
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.filter((OVER + UNDER) * shared >= OVER * (F.size("set_a") + F.size("set_b"))).select("a", "b").distinct()
 
 
-def _dealt(reps: DataFrame, head: str) -> DataFrame:
-    """``h, node, n, pos, label``, dealt by shingle."""
-    return spread(reps.select(F.posexplode(head).alias("pos", "h"), "node", "n", "label"), "h")
+def _dealt(reps: DataFrame) -> DataFrame:
+    """``h, node, n, pos, label``: a row for each shingle of a prefix."""
+    return reps.select(F.posexplode("head").alias("pos", "h"), "node", "n", "label")
 
 
 def _buckets(dealt: DataFrame) -> DataFrame:
@@ -157,10 +173,14 @@ def _pairs(buckets: DataFrame, after: int, upto: int) -> DataFrame:
     return found.select("p.a", "p.b")
 
 
-def _hubs(buckets: DataFrame) -> DataFrame:
-    """``a, b``: each row of a bucket and the bucket's smallest node, if possible: a large group has few such nodes."""
-    hub = buckets.select("m", F.expr("array_min(transform(m, x -> struct(x.node, x.n, x.pos)))").alias("hub"))
-    return hub.select("hub", F.explode("m").alias("x")).filter("x.node > hub.node").filter(_possible("x", "hub")).select(F.col("hub.node").alias("a"), F.col("x.node").alias("b"))
+def _near_prints(reps: DataFrame) -> DataFrame:
+    """``a, b``: texts of one fingerprint with the smallest of them, and those smallest ones where fingerprints link."""
+    hubs = checkpoint(reps.groupBy("fp").agg(F.min("node").alias("hub")))
+    same = reps.select("fp", "node").join(hubs, "fp").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = links(hubs.select("fp"))
+    for x in "ab":
+        near = near.join(hubs.select(F.col("fp").alias(x), F.col("hub").alias(f"hub_{x}")), x)
+    return same.unionByName(near.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b")))
 
 
 def _named(found: DataFrame) -> DataFrame:
@@ -174,10 +194,10 @@ def _labelled(rows: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def labels(reps: DataFrame, slim: DataFrame) -> DataFrame:
-    """``reps`` (``node, key, n, odd, first, head``) with the components of the pairs at SIMILARITY as ``label``."""
-    found = checkpoint(verified(_hubs(_buckets(_dealt(reps.withColumn("label", F.col("node")), "first"))), reps, slim))
+    """``reps`` (``key, node, n, fp, odd, head``) with the components of the pairs at SIMILARITY as ``label``."""
+    found = checkpoint(verified(_near_prints(reps), reps, slim))
     named = _named(found)
-    left = checkpoint(_buckets(_dealt(_labelled(reps, named), "head")))
+    left = checkpoint(_buckets(_dealt(_labelled(reps, named))))
     after, upto = 0, STEP
     while (left.agg(F.max(F.size("m"))).first()[0] or 0) > after + 1:
         new = checkpoint(verified(_pairs(left, after, upto), reps, slim))
@@ -192,24 +212,29 @@ def labels(reps: DataFrame, slim: DataFrame) -> DataFrame:
     return _labelled(reps, named)
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """``key, keeper``: the row key of every document and the smallest key of its group."""
-    bounded_batches(docs.sparkSession)
-    slim = docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text"))
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key().alias("key"), F.col("text").cast("string").alias("text"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """``node, keeper``: every distinct text and the smallest row key of its group."""
+    slim = _slim(docs)
     common, often = _common(slim)
-    rows = slim.mapInArrow(partial(_prefixes, common=common, often=often), "key bigint, node bigint, n bigint, odd array<bigint>, first array<bigint>, head array<bigint>")
-    rows = checkpoint(rows)
+    rows = slim.mapInArrow(partial(_prefixes, common=common, often=often), REPS)
     # equal texts agree in all but the key
-    reps = checkpoint(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "n", "odd", "first", "head")]))
+    reps = checkpoint(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "n", "fp", "odd", "head")]))
     named = labels(reps, slim).select("node", "key", "label")
-    keepers = named.groupBy("label").agg(F.min("key").alias("keeper"))
-    return rows.select("key", "node").join(named.select("node", "label"), "node").join(keepers, "label").select("key", "keeper")
+    return named.join(named.groupBy("label").agg(F.min("key").alias("keeper")), "label").select("node", "keeper")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``key, keeper``: the row key of every document and the smallest key of its group."""
+    return _slim(docs).mapInArrow(_nodes, f"{KEY}, node bigint").join(classes(docs), "node").select("key", "keeper")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group: the one with the smallest key."""
-    keep = groups(docs).filter("key = keeper").select(F.col("key").alias("_key")).distinct()
-    kept = docs.withColumn("_key", row_key()).join(keep, "_key")
-    # rows that share a key: one of each text
-    order = Window.partitionBy("_key").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns]))
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*docs.columns)
+    keep = classes(docs).select(F.col("keeper").alias("key")).distinct()
+    # rows that share a key become one before they move
+    one = docs.select(row_key().alias("key"), F.struct(*columns(docs)).alias("row")).groupBy("key").agg(F.min("row").alias("row"))
+    return one.join(keep, "key", "left_semi").select("row.*")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, components, spread
+from .common import bounded, checkpoint, components, spread
 
 _CHUNK = 1 << 15
 
@@ -58,7 +58,7 @@ def fingerprint(text: str | bytes | None, size: int = 3, seed: int = 42) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in bounded(batches, "text"):
         texts = b.column("text").cast(pa.binary())
         fp = np.array([fingerprint(x.as_py(), size, seed) for x in texts], dtype=np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
@@ -66,7 +66,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, seed: int) -> It
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
     """``doc_id, fp`` (the 64 bits as a signed integer)."""
-    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(partial(_fingerprints, size=size, seed=seed), "doc_id bigint, fp bigint")
 

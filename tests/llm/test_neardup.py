@@ -23,7 +23,7 @@ def changed(rng, text, places):
 
 def found(spark, texts):
     docs = spark.createDataFrame(list(enumerate(map(" ".join, texts))), SCHEMA)
-    return {r.key: r.keeper for r in neardup.groups(docs).collect()}
+    return {r.key.id: r.keeper.id for r in neardup.groups(docs).collect()}
 
 
 def test_unrelated_texts_with_repeated_lines_stay(spark):
