@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, neardup, sharding, toxicity
-from tessera.llm.common import read, shared_folder
+from tessera.llm.common import columns, free, read, remove_folder, shared_folder
 
 #: Documents whose score reaches this go.
 TOXIC = 0.7
@@ -24,7 +24,8 @@ WEIGHTS = {d: w / sum(_LEFT.values()) for d, w in _LEFT.items()}
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep_text=True).filter(F.col("score") < TOXIC).select(*docs.columns)
+    name = free(docs, "score")
+    return toxicity.score(docs, model, keep_text=True, name=name).filter(F.col(name) < TOXIC).select(*columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.matches(docs, read(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("hits") == 0).select(*docs.columns)
+    return found.filter(F.size(found.columns[-1]) == 0).select(*columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows, read from its folder below spark.checkpoint.dir; the folders of the others go as soon as they have been read."""
+    docs, last = read(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove_folder(spark, last)
+        last = f"{folder}/{name}"
     return docs
