@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,7 +85,7 @@ def row_key(key: str = "doc_id", text: str = "text") -> Column:
     return key.cast("struct<none:boolean,id:bigint,hash:bigint>")  # as it comes back from Python, so that joins need no cast
 
 
-def labelled_sample(docs: DataFrame, chosen: DataFrame, by: str, chars: int) -> pa.Table:
+def labelled_sample(docs: DataFrame, chosen: DataFrame, by: str, chars: int) -> DataFrame:
     """``doc_id, <by>, text`` of the labelled rows ``chosen`` (``doc_id, <by>``; few, as the caller limits them).
 
     One text for each label (of documents that repeat an id, the smallest). For each value of ``by`` the texts are
@@ -95,7 +96,23 @@ def labelled_sample(docs: DataFrame, chosen: DataFrame, by: str, chars: int) ->
     found = checkpoint(joined.withColumn("chars", F.char_length("text").cast("bigint")))
     order = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     fits = found.select("doc_id", by, F.sum("chars").over(order).alias("upto")).filter(F.col("upto") <= chars).select("doc_id", by)
-    return found.join(F.broadcast(fits), ["doc_id", by]).select("doc_id", by, "text").toArrow().sort_by([("doc_id", "ascending"), (by, "ascending")])
+    return found.join(F.broadcast(fits), ["doc_id", by]).select("doc_id", by, "text")
+
+
+def learned(sample: DataFrame, by: str, train: Callable[[pa.Array, np.ndarray], np.ndarray]) -> np.ndarray:
+    """What ``train`` makes of the sample's texts and labels. It runs in one task: the sample is bounded, and the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        rows = pa.Table.from_batches(held) if held else pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text", pa.string())]).empty_table()
+        rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+        model = train(rows["text"].combine_chunks(), rows["label"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([model.dtype.str]), pa.array([list(model.shape)]), pa.array([model.tobytes()])], ["kind", "shape", "model"])
+
+    slim = sample.select("doc_id", F.col(by).cast("int").alias("label"), "text")
+    got = slim.repartition(1).mapInArrow(run, "kind string, shape array<bigint>, model binary").collect()
+    # an empty sample may have no task at all
+    return np.frombuffer(got[0].model, got[0].kind).reshape(got[0].shape) if got else train(pa.array([], pa.string()), np.zeros(0, np.int32))
 
 
 def _scramble(x: Column) -> Column:

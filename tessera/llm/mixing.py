@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpoint, columns, labelled_sample, row_key
+from .common import bounded, checkpoint, columns, labelled_sample, learned, row_key
 
 #: The classes of the labelled table: by quality, and toxic apart.
 DOMAINS = ("low", "good", "toxic")
@@ -101,8 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     for k in range(len(DOMAINS)):
         part = usable.filter(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.unionByName(part)
-    got = labelled_sample(docs, chosen, "domain", SAMPLE_CHARS)
-    return train(got["text"].combine_chunks(), got["domain"].to_numpy())
+    return learned(labelled_sample(docs, chosen, "domain", SAMPLE_CHARS), "domain", train)
 
 
 def _members(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import bounded, columns, free, labelled_sample
+from .common import bounded, columns, free, labelled_sample, learned
 
 BUCKETS, DIM, WINDOW, SIZES = 1 << 18, 8, 48, (3, 4, 5)
 #: At most so many labelled texts of each kind are learned from, the first by a hash of the id, and so many characters of each kind together.
@@ -188,8 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Train on a bounded sample of labelled texts (the SAMPLE_ constants)."""
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out()).distinct()
     first = lambda kind, n: usable.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    got = labelled_sample(docs, first(1, SAMPLE_TOXIC).unionByName(first(0, SAMPLE_CLEAN)), "toxic", SAMPLE_CHARS)
-    return train(got["text"], got["toxic"].to_numpy() == 1)
+    return learned(labelled_sample(docs, first(1, SAMPLE_TOXIC).unionByName(first(0, SAMPLE_CLEAN)), "toxic", SAMPLE_CHARS), "toxic", train)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: np.ndarray, text: str, name: str) -> Iterator[pa.RecordBatch]:

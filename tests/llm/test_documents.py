@@ -144,10 +144,13 @@ def test_toxicity_of_blank_and_very_long_texts(spark):
 def test_toxicity_sample_has_long_texts_and_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "b " * 20_000), (1, "a"), (2, None), (3, "c" * 30), (4, "d" * 30), (None, "e")], "doc_id long, text string")
     chosen = spark.createDataFrame([(1, 1), (2, 1), (3, 0), (4, 0)], "doc_id long, toxic int")
-    got = common.labelled_sample(docs, chosen, "toxic", 30).to_pylist()
-    assert [(r["doc_id"], r["text"]) for r in got][:2] == [(1, "a"), (2, "")] and len(got) == 3
-    assert len(common.labelled_sample(docs.filter("text is null or doc_id > 1 or text <> 'a'"), chosen, "toxic", 10**6)["text"][0].as_py()) == 40_000
-    assert len(common.labelled_sample(docs.limit(0), chosen, "toxic", 30)) == 0
+    sample = common.labelled_sample(docs, chosen, "toxic", 30)
+    got = sorted((r.doc_id, r.text) for r in sample.collect())
+    assert got[:2] == [(1, "a"), (2, "")] and len(got) == 3
+    assert common.labelled_sample(docs.filter("text is null or doc_id > 1 or text <> 'a'"), chosen, "toxic", 10**6).filter("length(text) = 40000").count() == 1
+    sizes = lambda texts, kinds: np.array([[len(t), k] for t, k in zip(texts.to_pylist(), kinds.tolist(), strict=True)]).reshape(-1, 2)
+    assert common.learned(sample, "toxic", sizes).tolist()[:2] == [[1, 1], [0, 1]]
+    assert common.learned(common.labelled_sample(docs.limit(0), chosen, "toxic", 30), "toxic", sizes).shape == (0, 2)
 
 
 def test_names_that_clash(spark):
