@@ -38,7 +38,7 @@ OVER, UNDER = 4, 5
 #: Texts of the sample that orders the shingles, and the most shingles taken to be common in it.
 SAMPLE, COMMON = 5_000, 30_000
 #: How the distance compared in a bucket grows.
-STEP = 8
+STEP = 32
 #: Pairs or labels that are sent to every executor at most.
 SMALL = 500_000
 #: The types of the columns that Python workers return.
@@ -114,10 +114,10 @@ def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     every = max(1, slim.count() // SAMPLE)
     sample = slim.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(every)) == 0)
     held = sample.mapInArrow(_sets, "node bigint, whole array<bigint>").select(F.explode("whole").alias("h"))
-    top = held.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toPandas()
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    top = held.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.log2(top["count"].to_numpy(float)).astype(np.int64)[order]
+    return h[order], np.log2(top["count"].to_numpy()).astype(np.int64)[order]
 
 
 def _possible(x: str, y: str) -> str:
@@ -139,15 +139,16 @@ def verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     """The pairs ``a, b`` whose sets are at SIMILARITY or above."""
     pairs = checkpoint(pairs.distinct())
     # as long as the pairs are few, sketches and texts stay where they are and only those of candidates move
-    own = reps.select("node", "key", "n", "odd").join(_sent(_either(pairs, "a", "b", "node")), "node", "left_semi")
+    own = reps.select("node", F.xxhash64("key").alias("at"), "n", "odd").join(_sent(_either(pairs, "a", "b", "node")), "node", "left_semi")
     for x in "ab":
-        pairs = pairs.join(own.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "odd")]), x)
+        pairs = pairs.join(own.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("at", "n", "odd")]), x)
     # sets differ in as many shingles as their parities at least; sizes within SIMILARITY differ by one doubling of the width at most
     folded = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y), {0})"
     a, b = folded.format("odd_a", "odd_b"), folded.format("odd_b", "odd_a")
     differ = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    pairs = checkpoint(pairs.filter((OVER + UNDER) * differ <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "key_a", "key_b"))
-    sets = slim.join(_sent(_either(pairs, "key_a", "key_b", "key")), "key", "left_semi").mapInArrow(_sets, "node bigint, whole array<bigint>")
+    pairs = checkpoint(pairs.filter((OVER + UNDER) * differ <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "at_a", "at_b"))
+    # by a hash of the key, which is small to send: another text that shares one has another node and joins nothing below
+    sets = slim.withColumn("at", F.xxhash64("key")).join(_sent(_either(pairs, "at_a", "at_b", "at")), "at", "left_semi").select("key", "text").mapInArrow(_sets, "node bigint, whole array<bigint>")
     both = pairs.select("a", "b")
     for x in "ab":
         both = both.join(sets.select(F.col("node").alias(x), F.col("whole").alias(f"set_{x}")), x)
