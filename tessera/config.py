@@ -10,6 +10,7 @@ ENTRIES: dict[str, tuple[int | float | bool | str, str]] = {
     "tessera.broadcast.bytes": (16 << 20, "a side is broadcast only if its shape bounds it below this"),
     "tessera.gram.columns": (2048, "widest matrix whose XᵀX is accumulated in one task's memory"),
     "tessera.blocked.work": (10**8, "scalar multiplications from which dense pairs use numpy blocks"),
+    "tessera.outer.rows": (100_000, "rows of a vector that meet all others in one task of a rank-one update"),
     "tessera.rewrite": (True, "apply the algebraic rewrites"),
 }
 

@@ -25,9 +25,7 @@ def scal(a: float, x: Matrix) -> Matrix:
 
 def syr(alpha: float, x: Matrix, a: Matrix) -> Matrix:
     """alpha x xᵀ + a, for a column vector x"""
-    if alpha >= 0:
-        return a.matrix_rank_one_update(x.multiply_scalar(alpha**0.5))
-    return a.multiply_scalar(-1.0).matrix_rank_one_update(x.multiply_scalar((-alpha) ** 0.5)).multiply_scalar(-1.0)
+    return a.matrix_rank_one_update(x, alpha)
 
 
 def gemv(alpha: float, a: Matrix, x: Matrix, beta: float, y: Matrix) -> Matrix:

@@ -141,8 +141,9 @@ class Matrix:
             raise ValueError(f"how must be 'coo' or 'blocked', not {how!r}")
         return self._new(X.MatMul(self.expr, other.expr, how))
 
-    def matrix_rank_one_update(self, x: Matrix) -> Matrix:
-        return self._new(X.RankOne(self.expr, x.expr))
+    def matrix_rank_one_update(self, x: Matrix, alpha: float = 1.0) -> Matrix:
+        """self + alpha x xᵀ, for a column vector x."""
+        return self._new(X.RankOne(self.expr, x.expr, alpha))
 
     def gemm(self, a: Matrix, b: Matrix, alpha: float = 1.0, beta: float = 1.0) -> Matrix:
         """alpha a b + beta self."""
@@ -157,7 +158,7 @@ class Matrix:
         return self.multiply_element(other) if isinstance(other, Matrix) else self.multiply_scalar(other)
 
     def __truediv__(self, other):
-        return self.divide_element(other) if isinstance(other, Matrix) else self.multiply_scalar(1.0 / other)
+        return self.divide_element(other) if isinstance(other, Matrix) else self._new(X.DivScalar(self.expr, other))
 
     def __sub__(self, other):
         return self + (other.multiply_scalar(-1.0) if isinstance(other, Matrix) else -other)
@@ -185,8 +186,8 @@ class Matrix:
         if self.expr.cells > limit:
             raise X.ShapeError(f"{self.shape} has more than {limit} cells")
         out = np.zeros(self.shape)
-        got = self.df.toPandas()
-        out[got.i.to_numpy(dtype=int), got.j.to_numpy(dtype=int)] = got.v.to_numpy()
+        got = self.df.toArrow()
+        out[got["i"].to_numpy(), got["j"].to_numpy()] = got["v"].to_numpy()
         return out
 
     def item(self) -> float:
@@ -201,6 +202,28 @@ class Matrix:
 
         return DenseMatrix(self.nrows, self.ncols, self.to_numpy().ravel(order="F"))
 
+    def to_ml_sparse(self):
+        """A local ``pyspark.ml.linalg.SparseMatrix`` of the cells that are not zero."""
+        from pyspark.ml.linalg import SparseMatrix
+
+        a = self.to_numpy()
+        j, i = np.nonzero(a.T)
+        pointers = np.searchsorted(j, np.arange(self.ncols + 1))
+        return SparseMatrix(self.nrows, self.ncols, pointers.tolist(), i.tolist(), a[i, j].tolist())
+
+    def equals(self, other: Matrix, tolerance: float = 0.0) -> bool:
+        """Whether shapes agree and no cell differs by more than ``tolerance``; absent cells are zeros, NaN equals NaN."""
+        if self.shape != other.shape:
+            return False
+        a, b = (m.df.select("i", "j", F.col("v").alias(n)) for m, n in ((self, "x"), (other, "y")))
+        x, y = (F.coalesce(c, F.lit(0.0)) for c in ("x", "y"))
+        same = (x == y) | (F.abs(x - y) <= tolerance)
+        return a.join(b, ["i", "j"], "full").filter(~same).isEmpty()
+
+    def foreach_active(self, fn: Callable[[int, int, float], None]) -> None:
+        """Calls ``fn(i, j, v)`` on the executors for every active cell."""
+        self.df.foreach(lambda r: fn(r.i, r.j, r.v))
+
     def write_parquet(self, path: str, mode: str = "errorifexists") -> None:
         self.df.write.mode(mode).parquet(path)
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +19,11 @@ COO = "i bigint, j bigint, v double"
 HELD = 64
 
 
-def _cells(rid: int, cid: int, size: int, block: np.ndarray) -> pd.DataFrame:
-    i, j = np.indices(block.shape)
-    return pd.DataFrame({"i": (i + rid * size).ravel(), "j": (j + cid * size).ravel(), "v": block.ravel()})
+def _cells(rid: int, cid: int, size: int, block: np.ndarray) -> pa.RecordBatch:
+    """Built from numpy as it is: NaN is a value here, not a null."""
+    i, j = np.indices(block.shape, dtype=np.int64)
+    columns = (i + rid * size).ravel(), (j + cid * size).ravel(), np.ascontiguousarray(block, np.float64).ravel()
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "v"])
 
 
 def gram(rows: DataFrame, n: int) -> DataFrame:
@@ -37,7 +38,7 @@ def gram(rows: DataFrame, n: int) -> DataFrame:
                 total += flat.T @ flat
                 seen = True
         if seen:
-            yield pa.RecordBatch.from_pandas(_cells(0, 0, n, total), preserve_index=False)
+            yield _cells(0, 0, n, total)
 
     return rows.select("values").mapInArrow(fold, COO).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
@@ -65,15 +66,17 @@ def blocked_product(a: DataFrame, b: DataFrame, sa: tuple[int, int], sb: tuple[i
         out[np.asarray(pos)] = np.asarray(vals)
         return out.reshape(size, size)
 
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
 
         def out(key):
             block = held.pop(key)
             return _cells(*key, size, block[: m - key[0] * size, : n - key[1] * size])
 
-        for f in frames:
-            for rid, cid, ap, av, bp, bv in zip(f.rid, f.cid, f.ap, f.av, f.bp, f.bv, strict=True):
+        for f in batches:
+            for k in range(f.num_rows):
+                rid, cid = f.column("rid")[k].as_py(), f.column("cid")[k].as_py()
+                ap, av, bp, bv = (f.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("ap", "av", "bp", "bv"))
                 product = dense(ap, av) @ dense(bp, bv)
                 if (rid, cid) in held:
                     held[rid, cid] += product
@@ -84,4 +87,4 @@ def blocked_product(a: DataFrame, b: DataFrame, sa: tuple[int, int], sb: tuple[i
         while held:
             yield out(next(iter(held)))
 
-    return left.join(right, "kid").select("rid", "cid", "ap", "av", "bp", "bv").mapInPandas(multiply, COO).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return left.join(right, "kid").select("rid", "cid", "ap", "av", "bp", "bv").mapInArrow(multiply, COO).groupBy("i", "j").agg(F.sum("v").alias("v"))

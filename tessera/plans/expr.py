@@ -180,6 +180,11 @@ class MulScalar(Unary):
     alpha: float
 
 
+@dataclass(frozen=True, eq=False)
+class DivScalar(Unary):
+    alpha: float
+
+
 @dataclass(frozen=True, eq=False)
 class Power(Unary):
     alpha: float
@@ -264,7 +269,9 @@ class MatMul(Binary):
 
 @dataclass(frozen=True, eq=False)
 class RankOne(Binary):
-    """a + b bᵀ for an n x 1 vector b."""
+    """a + alpha b bᵀ for an n x 1 vector b."""
+
+    alpha: float = 1.0
 
     def __post_init__(self):
         _need(self.b.ncols == 1, f"rank-one update needs a column vector, not {self.b.shape}")

@@ -93,6 +93,9 @@ class Lowering:
     def mulscalar(self, e):
         return _coo(self(e.a), "i", "j", F.col("v") * F.lit(float(e.alpha)))
 
+    def divscalar(self, e):
+        return _coo(self(e.a), "i", "j", ieee_divide(F.col("v"), F.lit(float(e.alpha))))
+
     def power(self, e):
         return _coo(self(e.a), "i", "j", F.pow("v", F.lit(float(e.alpha))))
 
@@ -181,9 +184,12 @@ class Lowering:
     def rankone(self, e):
         x = self(e.b).select("i", F.col("v").alias("x"))
         y = self(e.b).select(F.col("i").alias("j"), F.col("v").alias("y"))
-        # the outer product as an equi-join on the vector's only column
-        outer = x.withColumn("c", F.lit(0)).join(self.hint(e.b, y.withColumn("c", F.lit(0))), "c")
-        return self._summed(self(e.a).unionByName(_coo(outer, "i", "j", F.col("x") * F.col("y"))))
+        # the outer product as an equi-join: one side in ways by its index, the other repeated for each, so that no key holds all rows
+        ways = 1 if self.small(e.b) else max(1, -(-e.b.nrows // conf(self.spark, "tessera.outer.rows")))
+        x = x.withColumn("c", F.pmod(F.xxhash64("i"), F.lit(ways)).cast("int"))
+        y = y.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)))) if ways > 1 else y.withColumn("c", F.lit(0))
+        outer = x.join(self.hint(e.b, y), "c")
+        return self._summed(self(e.a).unionByName(_coo(outer, "i", "j", F.lit(float(e.alpha)) * (F.col("x") * F.col("y")))))
 
 
 def lower(spark: SparkSession, e: X.Expr) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..matrix import Matrix
 from ..plans.expr import Source
 from ..plans.lower import grid
-from .tables import from_numpy
+from .tables import _coordinates
 
 
 def _full(spark: SparkSession, nrows: int, ncols: int, v) -> Matrix:
@@ -42,11 +42,13 @@ def eye(spark, n) -> Matrix:
 
 
 def spdiag(spark, values) -> Matrix:
-    return from_numpy(spark, np.diag(np.asarray(values, float)), keep_zeros=False)
+    values = np.asarray(values, float)
+    at = np.flatnonzero(values)
+    return Matrix(spark, Source(_coordinates(spark, at, at, values[at]), (len(values), len(values))))
 
 
 def diag(spark, values) -> Matrix:
-    return from_numpy(spark, np.diag(np.asarray(values, float)))
+    return spdiag(spark, values).to_dense()
 
 
 def _sparse(spark, nrows, ncols, density, seed, v) -> Matrix:

@@ -12,7 +12,7 @@ from tessera.plans import expr as X
 from tessera.plans.lower import lower
 from tessera.plans.rewrite import chain_order, describe, rewrite
 from tessera.sources import (
-    diag, eye, from_blocks, from_coo, from_ml, from_numpy, from_parquet, from_rows, from_sparse_arrays, ones, rand, randn, spdiag, speye,
+    diag, eye, from_blocks, from_coo, from_ml, from_numpy, from_parquet, from_rows, from_sparse_arrays, from_vector, ones, rand, randn, spdiag, speye,
     sprand, sprandn, to_block_table, zeros,
 )
 
@@ -187,12 +187,66 @@ def test_blocked_agrees_with_coo(spark):
 def test_gram_of_rows(spark):
     a = np.arange(12.0).reshape(4, 3)
     df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(a)] + [(None, [1.0, 1.0, 1.0]), (9, None)], "i long, x array<double>")
-    x = from_rows(df, "i", "x", (4, 3))
+    x = from_rows(df, "i", "x", (4, 3), dense=True)
     same(x.T @ x, a.T @ a)
     same(x.row_sum(), a.sum(1, keepdims=True))
     assert "MapInArrow" in (x.T @ x).df._jdf.queryExecution().toString()
 
 
+def test_rows_that_are_absent_repeated_or_hold_nulls(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (2, [3.0, None]), (2, [1.0, 1.0])], "i long, x array<double>")
+    for parts in (1, 3):
+        x = from_rows(df.repartition(parts), "i", "x", (4, 2))
+        a = np.array([[1, 2], [0, 0], [4, 1], [0, 0.0]])
+        same(x, a)
+        same(x.T @ x, a.T @ a)
+        assert x.add_scalar(1).sum().item() == 12 and x.add_scalar(1, densify=True).sum().item() == 16
+
+
+def test_nan_stays_nan_in_every_product(spark):
+    a = np.array([[1, np.nan], [2, 3.0]])
+    x = from_numpy(spark, a)
+    rows = from_rows(spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(a)], "i long, x array<double>"), "i", "x", (2, 2), dense=True)
+    want = np.array([[5, np.nan], [np.nan, np.nan]])
+    for got in (x.T.matrix_multiply(x, how="coo"), x.T.matrix_multiply(x, how="blocked"), rows.T @ rows):
+        assert np.array_equal(got.to_numpy(), want, equal_nan=True) and got.df.filter("v is null").isEmpty()
+
+
+def test_updates_and_quotients_are_exact(spark):
+    x, a = np.array([[0.1], [3.0], [7.0]]), np.arange(9.0).reshape(3, 3)
+    for alpha in (2, 3, -3, 0.1):
+        got = blas.syr(alpha, from_numpy(spark, x), from_numpy(spark, a)).to_numpy()
+        assert np.array_equal(got, a + alpha * (x @ x.T))
+    spark.conf.set("tessera.broadcast.bytes", "1")
+    spark.conf.set("tessera.outer.rows", "2")
+    try:
+        assert np.array_equal(blas.syr(2, from_numpy(spark, x), from_numpy(spark, a)).to_numpy(), a + 2 * (x @ x.T))
+    finally:
+        spark.conf.unset("tessera.broadcast.bytes")
+        spark.conf.unset("tessera.outer.rows")
+    m = from_numpy(spark, a - 4)
+    assert np.array_equal((m / 3).to_numpy(), (a - 4) / 3)
+    with np.errstate(all="ignore"):
+        assert np.array_equal((m / 0).to_numpy(), (a - 4) / 0.0, equal_nan=True)
+
+
+def test_vectors_equality_and_sparse_conversion(spark):
+    from pyspark.ml.linalg import Vectors
+
+    a = np.array([[0, 2.0, 0], [0, 0, 5]])
+    m = from_numpy(spark, a, keep_zeros=False)
+    for v in ([1, 2, 3], Vectors.dense([1, 2, 3]), Vectors.sparse(3, [0, 1, 2], [1.0, 2.0, 3.0])):
+        same(m @ from_vector(spark, v), a @ np.array([[1], [2], [3]]))
+        assert from_vector(spark, v, row=True).shape == (1, 3)
+    back = m.to_ml_sparse()
+    assert np.array_equal(back.toArray(), a) and len(back.values) == 2 and from_ml(spark, back).equals(m)
+    assert m.equals(m.to_dense()) and not m.equals(m.t()) and not m.equals(m * 1.01) and m.equals(m * 1.01, 0.1)
+    assert from_numpy(spark, [[np.nan]]).equals(from_numpy(spark, [[np.nan]]))
+    total = spark.sparkContext.accumulator(0.0)
+    m.foreach_active(lambda i, j, v: total.add(v + i + j))
+    assert total.value == 7 + 1 + 0 + 1 + 2
+
+
 def test_empty_and_zero_matrices(spark):
     none = from_coo(spark.createDataFrame([], "i long, j long, v double"), shape=(3, 2))
     assert none.sum().item() == 0.0 and none.selection(2, 1).item() == 0.0
