@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of text that a Python worker works on at once; a longer text comes alone.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+#: Rows of two ids that one task reads alone instead of a task for every shuffle partition.
+FEW = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,9 +56,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """A checkpoint of bigint columns that leaves behind what Catalyst infers of them: in loops those constraints multiply from round to round."""
-    return checkpoint(df).select(*[F.col(c).bitwiseXOR(F.lit(0).cast("bigint")).alias(c) for c in df.columns])
+def _settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint and its rows, without what Catalyst has inferred: in loops the constraints multiply from round to round, and the size
+    estimates, products over all joins, grow to numbers of millions of digits. At most FEW rows are read as one partition, which joins
+    and aggregates without a shuffle."""
+    df = checkpoint(df)
+    rows = df.count()
+    fresh = DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.rdd(), df._jdf.schema()), df.sparkSession)
+    return (fresh.coalesce(1) if rows <= FEW else fresh), rows
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
@@ -132,24 +139,24 @@ def components(edges: DataFrame) -> DataFrame:
     renamed, loops and repeats go. The maps of the rounds are then composed backwards. Minima combine
     before the shuffle; renaming is an equi-join whose hot side AQE may split.
     """
-    edges = _settled(edges.select("a", "b"))  # read twice below
+    edges, _ = _settled(edges.select("a", "b"))  # read twice below
     e = edges.select(_scramble(F.col("a")).alias("a"), _scramble(F.col("b")).alias("b")).filter("a <> b").distinct()
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    e, maps = _settled(e), []
-    while not e.isEmpty():
+    (e, left_over), maps = _settled(e), []
+    while left_over:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = _settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
+        to, _ = _settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
         maps.append(to)
         left = e.join(to.select(F.col("n").alias("a"), F.col("m").alias("x")), "a").select("x", "b")
         new = left.join(to.select(F.col("n").alias("b"), F.col("m").alias("y")), "b").filter("x <> y")
-        e = _settled(new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        e, left_over = _settled(new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     label = None
     for to in reversed(maps):
         if label is None:
             label = to.select("n", F.col("m").alias("label"))
         else:
             later = label.select(F.col("n").alias("m"), "label")
-            label = _settled(to.join(later, "m", "left").select("n", F.coalesce("label", "m").alias("label")))
+            label, _ = _settled(to.join(later, "m", "left").select("n", F.coalesce("label", "m").alias("label")))
     if label is None:
         return nodes.select("node", F.col("node").alias("label"))
     return nodes.withColumn("n", _scramble(F.col("node"))).join(label, "n", "left").select("node", F.coalesce("label", "n").alias("label"))
