@@ -11,8 +11,9 @@ SIMILARITY link. Shingles common in a sample of the texts come last in the order
 and keeps shared passages out of the prefixes.
 
 Only connected components are wanted, so a pair within a component is not compared: buckets of one label
-go, and rounds compare rows at most STEP, STEP ** 2, ... places apart until every pair of different labels in every
-bucket has been compared. A large group so costs a few comparisons a row, and no bucket is cut.
+go. The first round compares every row with the next one and the first one of its bucket, later rounds rows at most
+STEP, STEP ** 2, ... places apart until every pair of different labels in every bucket has been compared. A large
+group so costs two comparisons a row, and no bucket is cut.
 
 Rows: null and empty texts are one group of equal texts; of each group the row with the smallest doc_id stays (one without an id
 only if the group has no other), of rows that agree in id and text one. Extra columns of the kept rows stay, whatever their names; an empty table gives an empty one.
@@ -168,8 +169,9 @@ def _buckets(dealt: DataFrame) -> DataFrame:
 
 
 def _pairs(buckets: DataFrame, after: int, upto: int) -> DataFrame:
-    """``a, b``: possible pairs of different labels, more than ``after`` and at most ``upto`` places apart."""
-    ahead = f"filter(slice(m, i + 2 + {after}, {upto - after}), y -> x.label <> y.label and {_possible('x', 'y')})"
+    """``a, b``: possible pairs of different labels, more than ``after`` and at most ``upto`` places apart; of the first round also those with the first row."""
+    met = f"slice(m, i + 2 + {after}, {upto - after})" if after else f"concat(slice(m, i + 2, {upto}), slice(m, 1, 1))"
+    ahead = f"filter({met}, y -> x.label <> y.label and {_possible('x', 'y')})"
     found = buckets.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform({ahead}, y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))")).alias("p"))
     return found.select("p.a", "p.b")
 
@@ -199,7 +201,7 @@ def labels(reps: DataFrame, slim: DataFrame) -> DataFrame:
     found = checkpoint(verified(_near_prints(reps), reps, slim))
     named = _named(found)
     left = checkpoint(_buckets(_dealt(_labelled(reps, named))))
-    after, upto = 0, STEP
+    after, upto = 0, 1
     while (left.agg(F.max(F.size("m"))).first()[0] or 0) > after + 1:
         new = checkpoint(verified(_pairs(left, after, upto), reps, slim))
         after, upto = upto, upto * STEP
