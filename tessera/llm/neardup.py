@@ -127,6 +127,18 @@ def _possible(x: str, y: str) -> str:
     return f"{UNDER} * least({x}.n, {y}.n) >= {OVER} * greatest({x}.n, {y}.n) and {OVER + UNDER} * ({most}) >= {OVER} * ({x}.n + {y}.n)"
 
 
+def _sketched(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows with ``low``: the parities folded to 256 bits, or all where there are fewer."""
+    low = F.expr("if(size(odd) <= 4, odd, transform(sequence(1, 4), k -> aggregate(sequence(k, size(odd), 4), 0L, (s, i) -> s ^ odd[i - 1]))) as low")
+    return rows.join(reps.select("node", low), "node")
+
+
+def _parted(x: str, y: str) -> str:
+    """Whether sets with these folded parities can reach SIMILARITY; those of different widths are left to the whole ones."""
+    differ = f"aggregate(zip_with({x}.low, {y}.low, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    return f"(size({x}.low) <> size({y}.low) or {OVER + UNDER} * {differ} <= {UNDER - OVER} * ({x}.n + {y}.n))"
+
+
 def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
@@ -164,14 +176,15 @@ def _dealt(reps: DataFrame) -> DataFrame:
 
 def _buckets(dealt: DataFrame) -> DataFrame:
     """``h, m``: the rows of each shingle that holds two labels at least, by size."""
-    m = F.sort_array(F.collect_list(F.struct("n", "node", "pos", "label")))
+    m = F.sort_array(F.collect_list(F.struct("n", "node", "pos", *[c for c in ("label", "low") if c in dealt.columns])))
     return dealt.groupBy("h").agg(m.alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h", "m")
 
 
 def _pairs(buckets: DataFrame, after: int, upto: int) -> DataFrame:
     """``a, b``: possible pairs of different labels, more than ``after`` and at most ``upto`` places apart; of the first round also those with the first row."""
     met = f"slice(m, i + 2 + {after}, {upto - after})" if after else f"concat(slice(m, i + 2, {upto}), slice(m, 1, 1))"
-    ahead = f"filter({met}, y -> x.label <> y.label and {_possible('x', 'y')})"
+    bound = f"and {_parted('x', 'y')}" if after else ""
+    ahead = f"filter({met}, y -> x.label <> y.label and {_possible('x', 'y')} {bound})"
     found = buckets.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> transform({ahead}, y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))")).alias("p"))
     return found.select("p.a", "p.b")
 
@@ -201,17 +214,20 @@ def labels(reps: DataFrame, slim: DataFrame) -> DataFrame:
     found = checkpoint(verified(_near_prints(reps), reps, slim))
     named = _named(found)
     left = checkpoint(_buckets(_dealt(_labelled(reps, named))))
-    after, upto = 0, 1
+    after, upto, sketched = 0, 1, False
     while (left.agg(F.max(F.size("m"))).first()[0] or 0) > after + 1:
         new = checkpoint(verified(_pairs(left, after, upto), reps, slim))
         after, upto = upto, upto * STEP
         left = left.filter(F.size("m") > after + 1)
-        if new.isEmpty():
+        if not new.isEmpty():
+            found = found.unionByName(new)
+            named = _named(found)
+        elif sketched:
             continue
-        found = found.unionByName(new)
-        named = _named(found)
-        # places stay as they are: a bucket keeps its rows, in the same order
-        left = checkpoint(_buckets(_labelled(left.select("h", F.explode("m").alias("x")).select("h", "x.n", "x.node", "x.pos"), named)))
+        # places stay as they are: a bucket keeps its rows, in the same order. The rows left after the first round get a sketch,
+        # which spares most pairs of later rounds
+        rows = left.select("h", F.explode("m").alias("x")).select("h", "x.n", "x.node", "x.pos", *(["x.low"] if sketched else []))
+        left, sketched = checkpoint(_buckets(_labelled(rows if sketched else _sketched(rows, reps), named))), True
     return _labelled(reps, named)
 
 
