@@ -8,7 +8,9 @@ two sets at similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 o
 are sorted by (prefix filter). Every text is dealt by these shingles, and texts of different components that meet are candidates unless
 their sizes, the shingle's positions or the sets' parities rule the pair out. The sets of the rest are compared, so exactly the pairs at
 SIMILARITY link. Shingles common in a sample of the texts come last in the order: it holds for any sample
-and keeps shared passages out of the prefixes.
+and keeps shared passages out of the prefixes. A sample of bounded size misses passages that a small share of many texts holds, whose
+buckets grow with the input; so the prefixes themselves are counted, shingles in more than FULL of them move back as well, and the
+texts that held one there get a new prefix. No bucket is cut by this: it is another order, the same for all sets.
 
 Only connected components are wanted, so a pair within a component is not compared: buckets of one label
 go. The first round compares every row with the next one and the first one of its bucket, later rounds rows at most
@@ -38,6 +40,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 OVER, UNDER = 4, 5
 #: Texts of the sample that orders the shingles, and the most shingles taken to be common in it.
 SAMPLE, COMMON = 5_000, 30_000
+#: A shingle in more prefixes than FULL moves back in the order, the most frequent ones if there are more than MOVED; so often at most.
+FULL, MOVED, MOVES = 8, 500_000, 3
 #: How the distance compared in a bucket grows.
 STEP = 32
 #: Pairs or labels that are sent to every executor at most.
@@ -111,14 +115,60 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles that several texts of a sample hold, and in how many (as a power of two)."""
+    """Sorted hashes of shingles that several texts of a sample hold, and in how many of all texts by that (as a power of two)."""
     every = max(1, slim.count() // SAMPLE)
     sample = slim.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(every)) == 0)
     held = sample.mapInArrow(_sets, "node bigint, whole array<bigint>").select(F.explode("whole").alias("h"))
     top = held.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     h = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.log2(top["count"].to_numpy()).astype(np.int64)[order]
+    return h[order], np.log2(top["count"].to_numpy() * every).astype(np.int64)[order]
+
+
+def _frequent(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles in more than FULL prefixes, and in how many (as a power of two); MOVED at most, the rarest go."""
+    held = reps.select(F.explode("head").alias("h")).groupBy("h").count().filter(F.col("count") > FULL)
+    held = checkpoint(held.select("h", F.floor(F.log2("count")).alias("power")))
+    least, room = 64, MOVED
+    for r in held.groupBy("power").count().orderBy(F.desc("power")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["power"]
+    top = held.filter(F.col("power") >= least).toArrow()
+    h = top["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], top["power"].to_numpy().astype(np.int64)[order]
+
+
+def _joined(common: np.ndarray, often: np.ndarray, h: np.ndarray, power: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order with these shingles moved back, and which of them stood further ahead before."""
+    every = np.union1d(common, h)
+    before, now = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    before[np.searchsorted(every, common)] = often
+    now[np.searchsorted(every, h)] = power
+    return every, np.maximum(before, now), every[now > before]
+
+
+def _moved(reps: DataFrame, slim: DataFrame, common: np.ndarray, often: np.ndarray) -> DataFrame:
+    """``reps`` with the prefixes of an order in which shingles of many prefixes come late.
+
+    Shingles only move back, so a prefix without one that moved stays as it is; the others are made anew. These reach further into
+    their texts and may hold other frequent shingles, hence some rounds: what is left then is left to the buckets."""
+    last = reps
+    for _ in range(MOVES):
+        common, often, back = _joined(common, often, *_frequent(last))
+        if not len(back):
+            break
+        table = reps.sparkSession.createDataFrame(pa.table({"h": pa.array(back.view(np.int64))}))
+        # MOVED hashes at most
+        touched = _sent(checkpoint(reps.select("node", F.explode("head").alias("h")).join(F.broadcast(table), "h", "left_semi").select("node").distinct()))
+        old = reps.drop("head").join(touched, "node", "left_semi")
+        texts = slim.withColumn("at", F.xxhash64("key")).join(_sent(checkpoint(old.select(F.xxhash64("key").alias("at")))), "at", "left_semi").select("key", "text")
+        heads = texts.mapInArrow(partial(_prefixes, common=common, often=often), REPS).groupBy("node").agg(F.min("head").alias("head"))
+        last = checkpoint(old.join(heads, "node"))
+        reps = reps.join(touched, "node", "left_anti").unionByName(last)
+    return reps
 
 
 def _possible(x: str, y: str) -> str:
@@ -242,7 +292,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = slim.mapInArrow(partial(_prefixes, common=common, often=often), REPS)
     # equal texts agree in all but the key
     reps = checkpoint(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "n", "fp", "odd", "head")]))
-    named = labels(reps, slim).select("node", "key", "label")
+    named = labels(_moved(reps, slim, common, often), slim).select("node", "key", "label")
     return named.join(named.groupBy("label").agg(F.min("key").alias("keeper")), "label").select("node", "keeper")
 
 

@@ -61,3 +61,46 @@ def test_full_buckets_lose_no_pair(spark, monkeypatch, step):
     want = near_groups(texts)
     assert 20 < len(set(want.values())) < len(texts)
     assert found(spark, texts) == want
+
+
+def compared(spark, monkeypatch, texts):
+    """The pairs that were compared."""
+    pairs, verified = [], neardup.verified
+
+    def counted(found, *rest):
+        pairs.extend(tuple(r) for r in found.distinct().collect())
+        return verified(found, *rest)
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    assert found(spark, texts) == {k: k for k in range(len(texts))}
+    monkeypatch.setattr(neardup, "verified", verified)
+    return len(pairs)
+
+
+def test_passages_that_a_sample_misses_are_not_compared_in_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    passages = [words(rng, 60) for _ in range(8)]
+    monkeypatch.setattr(neardup, "SAMPLE", 4)
+    # 12 and 48 texts with each passage, with their sizes close enough to be compared
+    few, many = (compared(spark, monkeypatch, [words(rng, 240) + passages[k % 8] for k in range(8 * n)]) for n in (12, 48))
+    assert few <= 96 and many <= 4 * 96
+
+
+def test_moved_shingles_lose_no_pair(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    passages, texts = [words(rng, 40) for _ in range(3)], []
+    for k in range(30):
+        a = words(rng, 160) + passages[k % 3]
+        texts += [a, changed(rng, a, 3), changed(rng, a, 5), changed(rng, a, 8), passages[k % 3] + words(rng, 10)]
+    want = near_groups(texts)
+    assert 30 < len(set(want.values())) < len(texts)
+    monkeypatch.setattr(neardup, "SAMPLE", 4)
+    for full, most in ((1, 500_000), (8, 500_000), (8, 40), (1 << 20, 500_000)):
+        monkeypatch.setattr(neardup, "FULL", full)
+        monkeypatch.setattr(neardup, "MOVED", most)
+        assert found(spark, texts) == want
+
+
+def test_full_buckets_lose_no_pair_where_nothing_moves(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FULL", 1 << 20)
+    test_full_buckets_lose_no_pair(spark, monkeypatch, 2)
