@@ -155,7 +155,7 @@ def _moved(reps: DataFrame, slim: DataFrame, common: np.ndarray, often: np.ndarr
 
     Shingles only move back, so a prefix without one that moved stays as it is; the others are made anew. These reach further into
     their texts and may hold other frequent shingles, hence some rounds: what is left then is left to the buckets."""
-    last = reps
+    base, made, last = reps, None, reps
     for _ in range(MOVES):
         common, often, back = _joined(common, often, *_frequent(last))
         if not len(back):
@@ -167,7 +167,9 @@ def _moved(reps: DataFrame, slim: DataFrame, common: np.ndarray, often: np.ndarr
         texts = slim.withColumn("at", F.xxhash64("key")).join(_sent(checkpoint(old.select(F.xxhash64("key").alias("at")))), "at", "left_semi").select("key", "text")
         heads = texts.mapInArrow(partial(_prefixes, common=common, often=often), REPS).groupBy("node").agg(F.min("head").alias("head"))
         last = checkpoint(old.join(heads, "node"))
-        reps = reps.join(touched, "node", "left_anti").unionByName(last)
+        # one list of nodes, whatever the round: it is sent along whenever the rows are read
+        made = last if made is None else checkpoint(made.join(touched, "node", "left_anti").unionByName(last))
+        reps = base.join(_sent(made.select("node")), "node", "left_anti").unionByName(made)
     return reps
 
 
