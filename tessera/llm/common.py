@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of text that a Python worker works on at once; a longer text comes alone.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
@@ -34,6 +35,25 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
         yield b.slice(first)
 
 
+def batched(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` whose batches end at BATCH_BYTES, also before a worker cuts them: the executor fills a whole batch outside its heap and
+    the worker reads it whole, a task each, so Spark's 64 MB would hold several times that in every executor. Spark reads the limit from
+    the session when the rows are computed; it is lowered there, never raised, and no result depends on it."""
+    limit, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    bytes_now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < bytes_now <= BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def with_text(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents and the name of the column that holds their texts as strings: ``text`` where it does, else a copy called ``name`` or like it."""
+    if ("text", "string") in docs.dtypes:
+        return docs, "text"
+    name = free(docs, name)
+    return docs.withColumn(name, F.col("text").cast("string")), name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, a local session gets one of its own and a cluster an error."""
     sc = spark.sparkContext
@@ -117,7 +137,7 @@ def learned(sample: DataFrame, by: str, train: Callable[[pa.Array, np.ndarray],
         yield pa.RecordBatch.from_arrays([pa.array([model.dtype.str]), pa.array([list(model.shape)]), pa.array([model.tobytes()])], ["kind", "shape", "model"])
 
     slim = sample.select("doc_id", F.col(by).cast("int").alias("label"), "text")
-    got = slim.repartition(1).mapInArrow(run, "kind string, shape array<bigint>, model binary").collect()
+    got = batched(slim.repartition(1), run, "kind string, shape array<bigint>, model binary").collect()
     # an empty sample may have no task at all
     return np.frombuffer(got[0].model, got[0].kind).reshape(got[0].shape) if got else train(pa.array([], pa.string()), np.zeros(0, np.int32))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from .common import bounded, columns, free
+from .common import batched, bounded, columns, free, with_text
 
 Q, ERROR, PART_BYTES = 8, 0.06, 2 << 20
 #: Bits of the table of marked q-grams, characters marked together, and hits counted at once.
@@ -235,10 +235,9 @@ def parts(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """All columns of the documents and ``hits``, an array of (item_id, start, edits) in the normalised text."""
-    text = free(docs, "searched_text")
-    out, found = docs.withColumn(text, F.col("text").cast("string")), []
+    (out, text), found = with_text(docs, "searched_text"), []
     for rows in parts(benchmark):
         found.append(free(out, "hits"))
-        out = out.mapInArrow(partial(_matches, rows=rows, text=text, name=found[-1]), StructType([*out.schema.fields]).add(found[-1], _HITS))
+        out = batched(out, partial(_matches, rows=rows, text=text, name=found[-1]), StructType([*out.schema.fields]).add(found[-1], _HITS))
     hits = F.concat(*[F.col(f) for f in found]) if len(found) > 1 else F.col(found[0])
     return out.select(*columns(docs), hits.alias(found[0]))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpoint, columns, labelled_sample, learned, row_key
+from .common import batched, bounded, checkpoint, columns, labelled_sample, learned, row_key
 
 #: The classes of the labelled table: by quality, and toxic apart.
 DOMAINS = ("low", "good", "toxic")
@@ -113,7 +113,7 @@ def _members(batches: Iterator[pa.RecordBatch], model: np.ndarray) -> Iterator[p
 def membership(docs: DataFrame, model: np.ndarray) -> DataFrame:
     """``doc_id, key, tokens, p_<domain>``."""
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("key"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(partial(_members, model=model), "doc_id bigint, key struct<none:boolean,id:bigint,hash:bigint>, tokens bigint, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    return batched(slim, partial(_members, model=model), "doc_id bigint, key struct<none:boolean,id:bigint,hash:bigint>, tokens bigint, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
 def rate_of(steps: list[list[float]], most: float = MOST) -> Column:

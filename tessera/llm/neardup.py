@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpoint, columns, components, row_key
+from .common import batched, bounded, checkpoint, columns, components, row_key
 from .simhash import links, majority, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -118,7 +118,7 @@ def _common(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that several texts of a sample hold, and in how many of all texts by that (as a power of two)."""
     every = max(1, slim.count() // SAMPLE)
     sample = slim.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(every)) == 0)
-    held = sample.mapInArrow(_sets, "node bigint, whole array<bigint>").select(F.explode("whole").alias("h"))
+    held = batched(sample, _sets, "node bigint, whole array<bigint>").select(F.explode("whole").alias("h"))
     top = held.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     h = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
@@ -165,7 +165,7 @@ def _moved(reps: DataFrame, slim: DataFrame, common: np.ndarray, often: np.ndarr
         touched = _sent(checkpoint(reps.select("node", F.explode("head").alias("h")).join(F.broadcast(table), "h", "left_semi").select("node").distinct()))
         old = reps.drop("head").join(touched, "node", "left_semi")
         texts = slim.withColumn("at", F.xxhash64("key")).join(_sent(checkpoint(old.select(F.xxhash64("key").alias("at")))), "at", "left_semi").select("key", "text")
-        heads = texts.mapInArrow(partial(_prefixes, common=common, often=often), REPS).groupBy("node").agg(F.min("head").alias("head"))
+        heads = batched(texts, partial(_prefixes, common=common, often=often), REPS).groupBy("node").agg(F.min("head").alias("head"))
         last = checkpoint(old.join(heads, "node"))
         # one list of nodes, whatever the round: it is sent along whenever the rows are read
         made = last if made is None else checkpoint(made.join(touched, "node", "left_anti").unionByName(last))
@@ -213,7 +213,8 @@ def verified(pairs: DataFrame, reps: DataFrame, slim: DataFrame) -> DataFrame:
     differ = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
     pairs = checkpoint(pairs.filter((OVER + UNDER) * differ <= (UNDER - OVER) * (F.col("n_a") + F.col("n_b"))).select("a", "b", "at_a", "at_b"))
     # by a hash of the key, which is small to send: another text that shares one has another node and joins nothing below
-    sets = slim.withColumn("at", F.xxhash64("key")).join(_sent(_either(pairs, "at_a", "at_b", "at")), "at", "left_semi").select("key", "text").mapInArrow(_sets, "node bigint, whole array<bigint>")
+    texts = slim.withColumn("at", F.xxhash64("key")).join(_sent(_either(pairs, "at_a", "at_b", "at")), "at", "left_semi").select("key", "text")
+    sets = batched(texts, _sets, "node bigint, whole array<bigint>")
     both = pairs.select("a", "b")
     for x in "ab":
         both = both.join(sets.select(F.col("node").alias(x), F.col("whole").alias(f"set_{x}")), x)
@@ -291,7 +292,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """``node, keeper``: every distinct text and the smallest row key of its group."""
     slim = _slim(docs)
     common, often = _common(slim)
-    rows = slim.mapInArrow(partial(_prefixes, common=common, often=often), REPS)
+    rows = batched(slim, partial(_prefixes, common=common, often=often), REPS)
     # equal texts agree in all but the key
     reps = checkpoint(rows.groupBy("node").agg(*[F.min(c).alias(c) for c in ("key", "n", "fp", "odd", "head")]))
     named = labels(_moved(reps, slim, common, often), slim).select("node", "key", "label")
@@ -300,7 +301,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """``key, keeper``: the row key of every document and the smallest key of its group."""
-    return _slim(docs).mapInArrow(_nodes, f"{KEY}, node bigint").join(classes(docs), "node").select("key", "keeper")
+    return batched(_slim(docs), _nodes, f"{KEY}, node bigint").join(classes(docs), "node").select("key", "keeper")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

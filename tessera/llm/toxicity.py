@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import bounded, columns, free, labelled_sample, learned
+from .common import batched, bounded, columns, labelled_sample, learned, with_text
 
 BUCKETS, DIM, WINDOW, SIZES = 1 << 18, 8, 48, (3, 4, 5)
 #: At most so many labelled texts of each kind are learned from, the first by a hash of the id, and so many characters of each kind together.
@@ -200,8 +200,7 @@ def score(docs: DataFrame, model: np.ndarray, keep_text: bool = False, name: str
     """``doc_id, score`` for every document, or all its columns and the score under ``name``, which must be free."""
     if not keep_text:
         docs = docs.select("doc_id", "text")
-    text = free(docs, "scored_text")
-    given = docs.withColumn(text, F.col("text").cast("string"))
+    given, text = with_text(docs, "scored_text")
     schema = StructType([*given.schema.fields]).add(name, DoubleType())
-    out = given.mapInArrow(partial(_scores, model=model, text=text, name=name), schema)
+    out = batched(given, partial(_scores, model=model, text=text, name=name), schema)
     return out.select(*columns(docs), F.col(name)) if keep_text else out.select("doc_id", name)

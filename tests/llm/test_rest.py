@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import decontaminate, html, lines, mixing, neardup, toolcalls, topk
+from tessera.llm import common, decontaminate, html, lines, mixing, neardup, toolcalls, topk, toxicity
 
 SCHEMA = "doc_id long, text string, source string, hits string"
 
@@ -275,6 +275,40 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs, bench.limit(0)).filter("size(hits_) > 0").count() == 0
 
 
+def test_long_texts_reach_workers_in_bounded_batches(spark, monkeypatch):
+    limit, most = "spark.sql.execution.arrow.maxBytesPerBatch", common.BATCH_BYTES + (1 << 20)
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('some word ', 1000)").alias("text"))
+    benchmark = spark.createDataFrame([(1, "a passage of the benchmark")], "item_id long, text string")
+
+    def searched(batches, rows, text, name):
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("edits", pa.int64())]))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[{"item_id": 1, "start": b.nbytes, "edits": 0}]] * b.num_rows, kind)], [*b.schema.names, name])
+
+    def scored(batches, model, text, name):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([float(b.nbytes)] * b.num_rows)], [*b.schema.names, name])
+
+    monkeypatch.setattr(decontaminate, "_matches", searched)
+    monkeypatch.setattr(toxicity, "_scores", scored)
+    try:
+        for column, run in (("hits[0].start", lambda: decontaminate.matches(docs, benchmark)), ("score", lambda: toxicity.score(docs, np.zeros(1), keep_text=True))):
+            spark.conf.unset(limit)
+            got = run().selectExpr("count(*) as n", f"max({column}) as largest").first()
+            assert got.n == 4000 and 0 < got.largest <= most
+        spark.conf.set(limit, "1m")  # a lower limit stays
+        assert run().selectExpr(f"max({column})").first()[0] <= 2 << 20
+    finally:
+        spark.conf.unset(limit)
+
+
+def test_texts_of_another_type_are_searched_as_strings(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"so a passage of the benchmark it is")), (2, None)], "doc_id long, text binary")
+    benchmark = spark.createDataFrame([(7, "a passage of the benchmark")], "item_id long, text string")
+    out = decontaminate.matches(docs, benchmark)
+    assert out.dtypes[:2] == docs.dtypes and {r.doc_id: [h.item_id for h in r.hits] for r in out.collect()} == {1: [7], 2: []}
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(2)
     text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 150))
