@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ def bounded(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
                 first, held = k, 0
             held += n
         yield b.slice(first)
+    give_back()
 
 
 def batched(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
@@ -46,6 +49,13 @@ def batched(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns memory that this worker no longer uses; the pools of Arrow and of the C library would keep it as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_text(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The documents and the name of the column that holds their texts as strings: ``text`` where it does, else a copy called ``name`` or like it."""
     if ("text", "string") in docs.dtypes:
@@ -133,7 +143,11 @@ def learned(sample: DataFrame, by: str, train: Callable[[pa.Array, np.ndarray],
         held = list(batches)
         rows = pa.Table.from_batches(held) if held else pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("text", pa.string())]).empty_table()
         rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-        model = train(rows["text"].combine_chunks(), rows["label"].to_numpy())
+        texts, marks = rows["text"].combine_chunks(), rows["label"].to_numpy()
+        del held, rows
+        model = train(texts, marks)
+        del texts
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model.dtype.str]), pa.array([list(model.shape)]), pa.array([model.tobytes()])], ["kind", "shape", "model"])
 
     slim = sample.select("doc_id", F.col(by).cast("int").alias("label"), "text")

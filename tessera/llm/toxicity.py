@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import batched, bounded, columns, labelled_sample, learned, with_text
+from .common import batched, bounded, columns, give_back, labelled_sample, learned, with_text
 
 BUCKETS, DIM, WINDOW, SIZES = 1 << 18, 8, 48, (3, 4, 5)
 #: At most so many labelled texts of each kind are learned from, the first by a hash of the id, and so many characters of each kind together.
@@ -35,8 +35,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 2500, 12_000_000
 STEPS, PRIOR, LEAST_TEXTS, BIAS_RATE, W_RATE, MOMENTUM, RIDGE, LASSO = 200, -4.0, 0.002, 0.05, 0.01, 0.9, 1e-3, 5e-4
 #: A word's average is as if it had so many neutral n-grams more, lest two or three of a short word decide.
 PAD = 6
-#: Words whose n-grams, and windows whose words, are worked out at once.
-SLICE, ROWS = 20_000, 1 << 15
+#: Words whose n-grams, windows whose words, and n-grams whose sums are worked out at once.
+SLICE, ROWS, SUMMED = 20_000, 1 << 12, 1 << 18
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -94,6 +94,14 @@ def _starts(counts: np.ndarray) -> np.ndarray:
     return np.cumsum(counts) - counts
 
 
+def _summed(x: np.ndarray, of: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """``np.bincount(to, x[of], minlength=n)``, added in the same order but some at a time: numpy takes 8 bytes more for every index and value."""
+    out = np.zeros(n)
+    for k in range(0, len(to), SUMMED):
+        np.add.at(out, to[k : k + SUMMED], x[of[k : k + SUMMED]])
+    return out
+
+
 def train(texts: pa.Array, toxic: np.ndarray, steps: int = STEPS, seed: int = 7) -> np.ndarray:
     """Logit contribution of every bucket (float32), the bias last.
 
@@ -113,6 +121,7 @@ def train(texts: pa.Array, toxic: np.ndarray, steps: int = STEPS, seed: int = 7)
     grams, gram_counts = (np.concatenate(x) for x in zip(*slices, strict=True))
     n_words = len(listed)
     del slices, listed
+    give_back()
     gram_starts = _starts(gram_counts)
     divisor = gram_counts + PAD
     least = max(3, round(LEAST_TEXTS * len(counts)))
@@ -125,10 +134,20 @@ def train(texts: pa.Array, toxic: np.ndarray, steps: int = STEPS, seed: int = 7)
     live = seen[grams] >= least
     gram_word = np.repeat(np.arange(n_words, dtype=np.int32), gram_counts)[live]
     grams = grams[live]
-    parts = [(doc, word[new].astype(np.int32), new.sum(axis=1)) for doc, word, new in windows(ids, counts)]
-    docs, words, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts, ids
-    starts, window = _starts(sizes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    parts = [(doc.astype(np.int32), word[new].astype(np.int32), new.sum(axis=1, dtype=np.int32)) for doc, word, new in windows(ids, counts)]
+    docs, sizes = np.concatenate([x[0] for x in parts]), np.concatenate([x[2] for x in parts])
+    parts = [(words, _starts(n)) for _, words, n in parts]
+    cuts = np.cumsum([0, *[len(starts) for _, starts in parts]])
+    del ids, live
+    give_back()
+
+    def spread(x: np.ndarray) -> np.ndarray:
+        """For each word, the sum of ``x`` over the windows that hold it; some windows at a time and still in their order."""
+        out = np.zeros(n_words)
+        for (words, _), lo, hi in zip(parts, cuts[:-1], cuts[1:], strict=True):
+            np.add.at(out, words, np.repeat(x[lo:hi], sizes[lo:hi]))
+        return out
+
     opens = np.searchsorted(docs, np.arange(len(counts)))
     positive = toxic[docs]
     per_kind = np.where(positive, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
@@ -138,17 +157,17 @@ def train(texts: pa.Array, toxic: np.ndarray, steps: int = STEPS, seed: int = 7)
     table[seen < least] = 0
     w /= np.linalg.norm(w)
     # a bound of each bucket's curvature; the ridge holds back what few windows speak for
-    mass = np.bincount(grams, (np.bincount(words, per_kind[window], minlength=n_words) / divisor)[gram_word], minlength=BUCKETS)
+    mass = _summed(spread(per_kind) / divisor, gram_word, grams, BUCKETS)
     step_of = 4 / (WINDOW * (mass + RIDGE))
     speed = np.zeros(BUCKETS)
     for _ in range(steps):
-        word = np.bincount(gram_word, (table @ w)[grams], minlength=n_words) / divisor
-        logit = np.clip(WINDOW * np.add.reduceat(word[words], starts) + bias, -60, 60)
+        word = _summed(table @ w, grams, gram_word, n_words) / divisor
+        logit = np.clip(WINDOW * np.concatenate([np.add.reduceat(word[words], starts) for words, starts in parts]) + bias, -60, 60)
         p = 1 / (1 + np.exp(-logit))
         worst = positive & (logit >= np.maximum.reduceat(logit, opens)[docs])
         g = np.where(positive, np.where(worst, p - 1, 0.0), p) * per_kind
-        back = np.bincount(words, g[window], minlength=n_words) / divisor
-        bucket = np.bincount(grams, back[gram_word], minlength=BUCKETS)
+        back = spread(g) / divisor
+        bucket = _summed(back, gram_word, grams, BUCKETS)
         speed = MOMENTUM * speed - step_of * bucket
         w_grad = table.T @ bucket
         table += np.outer(speed, w / (w @ w))

@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from brute import classes, fingerprint, secrets, shards
 
@@ -126,6 +128,28 @@ def test_toxicity_learns_subwords():
     assert np.allclose(toxicity.score_texts(pa.array(["a b"]), toxicity.train(pa.array([], pa.string()), np.array([]))), 0, atol=1e-3)
 
 
+def test_toxicity_learns_in_little_memory():
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 3000, 2000)) for _ in range(500)])
+    toxic = np.arange(500) % 3 == 0
+    words = pc.utf8_split_whitespace(texts).flatten()
+    tracemalloc.start()
+    try:
+        model = toxicity.train(texts, toxic, steps=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # table, its changes and what is held of each window's words (two windows hold a word)
+    assert np.isfinite(model).all() and peak < 3 * 8 * toxicity.BUCKETS * toxicity.DIM + 2 * 4 * len(words)
+
+
+def test_sums_in_pieces_are_those_of_bincount(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, of, to = rng.normal(size=50), rng.integers(0, 50, 1000).astype(np.int32), rng.integers(0, 7, 1000).astype(np.int32)
+    monkeypatch.setattr(toxicity, "SUMMED", 64)
+    assert (toxicity._summed(x, of, to, 9) == np.bincount(to, x[of], minlength=9)).all()
+
+
 def test_toxicity_of_blank_and_very_long_texts(spark):
     model = np.random.default_rng(0).normal(0, 1, toxicity.BUCKETS + 1).astype(np.float32)
     bias = 1 / (1 + np.exp(-float(model[-1])))
